@@ -6,8 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ._common import table
+from ._common import materialise, table
 from .neardup import near_duplicates
+from .packing import pack, token_pieces
+
+
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = materialise(token_pieces(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json")), "pieces")
+    return pack(pieces)
 
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
