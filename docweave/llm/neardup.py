@@ -9,9 +9,10 @@ coordinates were independent. Short sets cost O(t log t), long ones O(n).
 Scale: a first pass turns texts into a set fingerprint, the band keys and a one-byte
 sketch; texts are never shuffled for candidates. Sets that are equal are one class
 from then on, so groups of exact copies of any size are one row. A band bucket links
-its members to its smallest id only (a star), which settles nearly all; pairs of a
-bucket that are in different components after that are compared tile by tile on
-their sketches, and what a concentration bound cannot rule out is verified on full sets.
+its members to its smallest id only (a star), which settles nearly all. Members of
+buckets that still hold several components are paired again by their rarest shingles
+(prefix filter, exact), tile by tile on their sketches; what a concentration bound
+cannot rule out is verified on full sets.
 """
 
 from __future__ import annotations
@@ -109,13 +110,27 @@ def _sets(k: int):
 
 
 def _tiles(members: DataFrame) -> DataFrame:
-    """Bucket members of unsettled buckets, dealt to pairs of tiles of at most TILE rows."""
+    """Members of unsettled keys, dealt to pairs of tiles of about TILE rows."""
     # a hashed tile number: the tiles of a bucket of s members hold about TILE / 2 each
     dealt = members.withColumn("tiles", F.ceil(F.col("size") / (TILE // 2)).cast("int")).withColumn("tile", F.pmod(F.xxhash64("id", "key"), F.col("tiles")).cast("int"))
     return dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
         "key", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "id", "component", "n_shingles", "sketch")
 
 
+def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """(id, key): the rarest shingles of each set, so many that two sets similar enough share one.
+
+    Of n shingles in any common order, sets with percent of their union in common agree in one
+    of the first n - ceil(n * percent / 100) + 1. Rarest first leaves out the passages that
+    many documents share, and the edits that each near copy has for itself pair with nothing."""
+    each = sets.select("id", F.size("set").alias("n"), F.explode("set").alias("key"))
+    shared = each.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
+    own = each.join(shared, "key").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("of"))
+    alone = F.col("n") - F.size("of")  # shingles that no other set has come first and pair with nothing
+    length = F.greatest(F.lit(0), F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - alone).cast("int")
+    return own.select("id", F.explode(F.slice("of", F.lit(1), length)).alias("of")).select("id", "of.key")
+
+
 def _compare(percent: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         i, j = pdf.i.iloc[0], pdf.j.iloc[0]
@@ -174,8 +189,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = members.join(found, "id", "left").select("key", "id", "size", F.coalesce("component", "id").alias("component"))
     open_keys = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y and x is not null").select("key")
     left = placed.join(open_keys, "key", "left_semi").where("size > 2")
-    left = left.join(reps.select(F.col("doc_id").alias("id"), "n_shingles", "sketch").dropDuplicates(["id"]), "id")
-    pairs = _tiles(left).groupBy("key", "i", "j").applyInPandas(_compare(percent), "v long, u long, agree long")
+    left = materialise(left.groupBy("id").agg(F.first("component").alias("component")), "left")
+    shared = _prefixes(sets.join(left.select("id"), "id", "left_semi"), percent).join(left, "id")
+    mixed = shared.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key", "size")
+    shared = shared.join(mixed, "key").join(reps.select(F.col("doc_id").alias("id"), "n_shingles", "sketch").dropDuplicates(["id"]), "id")
+    pairs = _tiles(shared).groupBy("key", "i", "j").applyInPandas(_compare(percent), "v long, u long, agree long")
     pairs = materialise(pairs.distinct().join(star, ["u", "v"], "left_anti"), "pairs")
     if pairs.limit(1).count():
         comp = found.withColumnRenamed("component", "c")
