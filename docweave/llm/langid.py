@@ -132,8 +132,8 @@ class Model:
             best = (votes + 1e-3 * np.tanh(margin)).argmax(1) if len(own) else np.zeros(0, int)
             out[own] = [ls[i] for i in best]
             if len(ls) > 1:
-                score[own] *= sure(margin[np.arange(len(own)), best] / (len(ls) - 1))
-        return out.tolist(), np.clip(score, 0, 1)
+                score[own] = score[own] * sure(margin[np.arange(len(own)), best] / (len(ls) - 1))
+        return out.tolist(), np.clip(score, 0, 1).astype(np.float64)
 
 
 def _sample(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +154,7 @@ def _predict(model: Model | None):
                 x, some = vectors([t or "" for t in part.column(0).to_pylist()])
                 lang, score = model.predict(x) if model else (["und"] * len(x), np.zeros(len(x)))
                 lang = [z if s else "und" for z, s in zip(lang, some.tolist())]
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(lang, pa.string()), pa.array(np.where(some, score, 0.0))], names=[*part.schema.names[1:], "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(lang, pa.string()), pa.array(np.where(some, score, 0.0).astype(np.float64))], names=[*part.schema.names[1:], "lang_pred", "score"])
 
     return run
 
