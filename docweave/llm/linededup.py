@@ -8,7 +8,8 @@ same constants are one template. Templates that recur in min_docs documents or m
 are dropped from all of them.
 
 A document of which copy_share or more would go is itself a copy rather than text
-with a recurring part: it is left whole, for near-duplicate removal to judge.
+with a recurring part, and so is one with recurring runs all over and only an edited line
+or three between them: it is left whole, for near-duplicate removal to judge.
 
 Scale: the first pass emits one hash a line and counts documents a leaf; a bitmap of
 fixed size tells the second pass which lines to emit with their tokens, and templates are
@@ -123,7 +124,11 @@ def _without(raw: bytes, drop: list[int], least: int, copy_share: float) -> tupl
     # a short segment between dropped ones goes with them
     side = np.concatenate(([True], gone, [True]))
     gone |= (size < least) & side[:-2] & side[2:]
-    if size[gone].sum() >= copy_share * size.sum():
+    at = np.flatnonzero(gone)
+    gaps = np.diff(at)
+    gaps = gaps[gaps > 1] - 1  # kept segments between dropped runs
+    edited = len(gaps) >= 2 and np.median(gaps) <= 3 and size[gone].sum() >= 0.2 * size.sum()
+    if edited or size[gone].sum() >= copy_share * size.sum():
         return raw.decode(), 0, True
     begin = starts[first[:-1]]
     begin[0] = 0
