@@ -114,11 +114,12 @@ def _tiles(members: DataFrame) -> DataFrame:
     # a hashed tile number: the tiles of a bucket of s members hold about TILE / 2 each
     dealt = members.withColumn("tiles", F.ceil(F.col("size") / (TILE // 2)).cast("int")).withColumn("tile", F.pmod(F.xxhash64("id", "key"), F.col("tiles")).cast("int"))
     return dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
-        "key", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "id", "component", "n_shingles", "sketch")
+        "key", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "id", "component", "n_shingles", "rest", "sketch")
 
 
 def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """(id, key): the rarest shingles of each set, so many that two sets similar enough share one.
+    """(id, key, n, rest): the rarest shingles of each set of n, so many that two sets similar
+    enough share one, and how many shingles come from there on (positional filter).
 
     Of n shingles in any common order, sets with percent of their union in common agree in one
     of the first n - ceil(n * percent / 100) + 1. Rarest first leaves out the passages that
@@ -128,7 +129,13 @@ def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
     own = each.join(shared, "key").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("of"))
     alone = F.col("n") - F.size("of")  # shingles that no other set has come first and pair with nothing
     length = F.greatest(F.lit(0), F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - alone).cast("int")
-    return own.select("id", F.explode(F.slice("of", F.lit(1), length)).alias("of")).select("id", "of.key")
+    placed = own.select("id", "n", alone.alias("alone"), F.posexplode(F.slice("of", F.lit(1), length)).alias("at", "of"))
+    return placed.select("id", "of.key", "n", (F.col("n") - F.col("alone") - F.col("at")).cast("int").alias("rest"))
+
+
+def _needed(n, m, percent: int):
+    """Common shingles that sets of n and m must have, as a fraction to compare with."""
+    return (n + m) * (percent / (100 + percent)) - 1e-6
 
 
 def _compare(percent: int):
@@ -140,13 +147,15 @@ def _compare(percent: int):
         if len(left) and len(right):
             ls, rs = (np.frombuffer(b"".join(x.sketch), np.uint8).reshape(len(x), -1) for x in (left, right))
             lid, rid, lc, rc, ln, rn = left.id.to_numpy(), right.id.to_numpy(), left.component.to_numpy(), right.component.to_numpy(), left.n_shingles.to_numpy(), right.n_shingles.to_numpy()
+            lr, rr = left.rest.to_numpy(), right.rest.to_numpy()
             for x in range(len(left)):
                 a, b = np.searchsorted(rn, -(-ln[x] * percent // 100)), np.searchsorted(rn, ln[x] * 100 // percent, "right")
-                agree = (rs[a:b] == ls[x]).sum(1)
-                ok = np.flatnonzero((agree >= LEAST_AGREE * percent // 75) & (rc[a:b] != lc[x])) + a
+                near = np.flatnonzero((np.minimum(rr[a:b], lr[x]) >= _needed(ln[x], rn[a:b], percent)) & (rc[a:b] != lc[x])) + a
                 if i == j:
-                    ok = ok[rid[ok] > lid[x]]
-                found += [(min(lid[x], rid[y]), max(lid[x], rid[y]), int(agree[y - a])) for y in ok]
+                    near = near[rid[near] > lid[x]]
+                if len(near):
+                    agree = (rs[near] == ls[x]).sum(1)
+                    found += [(min(lid[x], rid[y]), max(lid[x], rid[y]), int(g)) for y, g in zip(near, agree) if g >= LEAST_AGREE * percent // 75]
         return pd.DataFrame(found, columns=["v", "u", "agree"]).astype("int64")
 
     return run
@@ -190,7 +199,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     open_keys = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y and x is not null").select("key")
     left = placed.join(open_keys, "key", "left_semi").where("size > 2")
     left = materialise(left.groupBy("id").agg(F.first("component").alias("component")), "left")
-    shared = _prefixes(sets.join(left.select("id"), "id", "left_semi"), percent).join(left, "id")
+    shared = materialise(_prefixes(sets.join(left.select("id"), "id", "left_semi"), percent).join(left, "id"), "prefixes")
+    low = shared.groupBy("key").agg(F.min("n").alias("low"))
+    least = F.greatest(F.col("low"), F.ceil(F.col("n") * percent / 100))
+    shared = shared.join(low, "key").where(F.col("rest") >= _needed(F.col("n"), least, percent))  # too late for any partner
     mixed = shared.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key", "size")
     shared = shared.join(mixed, "key").join(reps.select(F.col("doc_id").alias("id"), "n_shingles", "sketch").dropDuplicates(["id"]), "id")
     pairs = _tiles(shared).groupBy("key", "i", "j").applyInPandas(_compare(percent), "v long, u long, agree long")
