@@ -101,7 +101,7 @@ def _lines(depth: int, least: int, bitmap: bytes | None):
 def _rebuild(least: int, copy_share: float):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            texts, drops = batch.column("text").to_pylist(), batch.column("drops").to_pylist()
+            texts, drops = batch.column("text").to_pylist(), batch.column("docweave_drops").to_pylist()
             out, gone, copies = [], [], []
             for text, drop in zip(texts, drops):
                 text, n, copy = (text, 0, False) if not drop else _without((text or "").encode(), drop, least, copy_share)
@@ -109,8 +109,8 @@ def _rebuild(least: int, copy_share: float):
                 gone.append(n)
                 copies.append(copy)
             i = batch.schema.get_field_index("text")
-            cols = [c for k, c in enumerate(batch.columns) if k != i and batch.schema.names[k] != "drops"]
-            names = [x for x in batch.schema.names if x not in ("text", "drops")]
+            cols = [c for k, c in enumerate(batch.columns) if k != i and batch.schema.names[k] != "docweave_drops"]
+            names = [x for x in batch.schema.names if x not in ("text", "docweave_drops")]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(out, pa.string()), pa.array(gone, pa.int32()), pa.array(copies)], names=[*names, "text", "n_dropped", "is_copy"])
 
     return run
@@ -179,9 +179,9 @@ def line_dedup(docs: DataFrame, min_docs: int = 4, depth: int = 3, least_tokens:
     drops = recurring_lines(docs, min_docs, depth, least_tokens)
     cols = [c for c in docs.columns if c not in ("n_dropped", "is_copy")]
     marked = docs.select(*cols, row_key("doc_id", "text").alias("docweave_key"))
-    joined = marked.join(drops.select(F.col("key").alias("docweave_key"), "drops"), "docweave_key", "left").drop("docweave_key")
+    joined = marked.join(drops.select(F.col("key").alias("docweave_key"), F.col("drops").alias("docweave_drops")), "docweave_key", "left").drop("docweave_key")
     rest = [c for c in cols if c != "text"]
     types = {f.name: f.dataType.simpleString() for f in docs.schema}
     schema = ", ".join([*(f"`{c}` {types[c]}" for c in rest), "text string", "n_dropped int", "is_copy boolean"])
-    done = joined.select(*rest, F.col("text").cast("string").alias("text"), "drops").mapInArrow(_rebuild(least_tokens, copy_share), schema)
+    done = joined.select(*rest, F.col("text").cast("string").alias("text"), "docweave_drops").mapInArrow(_rebuild(least_tokens, copy_share), schema)
     return done.select(*cols, "n_dropped", "is_copy")
