@@ -7,9 +7,11 @@ have at its place is constant and any other token is a variable field; lines wit
 same constants are one template. Templates that recur in min_docs documents or more
 are dropped from all of them.
 
-A document of which copy_share or more would go is itself a copy rather than text
-with a recurring part, and so is one with recurring runs all over and only an edited line
-or three between them: it is left whole, for near-duplicate removal to judge.
+A recurring part is told from a copy of a whole document by what stands around it. A run
+of recurring lines is dropped if what comes before its first line, or after its last,
+differs from document to document (no neighbour has open_share of the occurrences). In
+copies, exact or edited, the neighbours are mostly the same: those lines stay, for
+near-duplicate removal to judge the documents.
 
 Scale: the first pass emits one hash a line and counts documents a leaf; a bitmap of
 fixed size tells the second pass which lines to emit with their tokens, and templates are
@@ -55,17 +57,23 @@ def segments(texts: list[bytes]):
     return starts, ends, token, np.append(first, n), owner, begins
 
 
-def _hashes(token: np.ndarray, first: np.ndarray, depth: int, least: int):
-    """Of segments of least tokens or more: their numbers, token counts, leaf and exact hash."""
+def _exact(token: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Hash of the tokens of each segment."""
+    size = np.diff(first)
+    place = (np.arange(len(token)) - np.repeat(first[:-1], size)).astype(np.uint64)
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(token + place * _C[9]))))
+    return mix(total[first[1:]] - total[first[:-1]] + size.astype(np.uint64))
+
+
+def _leaves(token: np.ndarray, first: np.ndarray, depth: int, least: int):
+    """Of segments of least tokens or more: their numbers, token counts and leaf."""
     size = np.diff(first)
     own = np.flatnonzero(size >= least)
     a, n = first[own], size[own]
     leaf = n.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     for j in range(depth):
         leaf = leaf + token[a + j] * _C[j]
-    place = np.arange(len(token)) - np.repeat(first[:-1], size)
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(token + place.astype(np.uint64) * _C[9]))))
-    return own, n, mix(leaf), mix(total[a + n] - total[a] + n.astype(np.uint64))
+    return own, n, mix(leaf)
 
 
 def _lines(depth: int, least: int, bitmap: bytes | None):
@@ -78,33 +86,37 @@ def _lines(depth: int, least: int, bitmap: bytes | None):
                 _, _, token, first, owner, begins = segments(texts[a:b])
                 if not len(owner):
                     continue
-                own, n, leaf, exact = _hashes(token, first, depth, least)
+                own, n, leaf = _leaves(token, first, depth, least)
                 who = owner[own]
                 if hot is None:  # one row for a document and leaf
                     pair = np.unique(np.stack((who.astype(np.uint64), leaf)), axis=1) if len(own) else np.zeros((2, 0), np.uint64)
                     yield pa.RecordBatch.from_arrays([pa.array(pair[1].view(np.int64))], names=["leaf"])
                     continue
                 keep = hot[(leaf & np.uint64((1 << BITS) - 1)).astype(np.int64)]
-                own, n, leaf, exact, who = own[keep], n[keep], leaf[keep], exact[keep], who[keep]
+                own, n, leaf, who = own[keep], n[keep], leaf[keep], who[keep]
+                exact = _exact(token, first).view(np.int64)
+                same = owner[1:] == owner[:-1]  # neighbours are of the same text, or 0
+                before, after = np.zeros_like(exact), np.zeros_like(exact)
+                before[1:], after[:-1] = np.where(same, exact[:-1], 0), np.where(same, exact[1:], 0)
                 number = own - np.searchsorted(owner, who)  # of the segment in its text
                 starts = first[own]
                 bounds = np.concatenate(([0], np.cumsum(n)))
                 take = np.arange(bounds[-1]) + np.repeat(starts - bounds[:-1], n)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[a + who]), pa.array(number.astype(np.int32)), pa.array(leaf.view(np.int64)), pa.array(exact.view(np.int64)), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(token[take].view(np.int64)))],
-                    names=["key", "number", "leaf", "line", "tokens"],
+                    [pa.array(keys[a + who]), pa.array(number.astype(np.int32)), pa.array(leaf.view(np.int64)), pa.array(exact[own]), pa.array(before[own]), pa.array(after[own]), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(token[take].view(np.int64)))],
+                    names=["key", "number", "leaf", "line", "before", "after", "tokens"],
                 )
 
     return run
 
 
-def _rebuild(least: int, copy_share: float):
+def _rebuild(least: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             texts, drops = batch.column("text").to_pylist(), batch.column("docweave_drops").to_pylist()
             out, gone, copies = [], [], []
             for text, drop in zip(texts, drops):
-                text, n, copy = (text, 0, False) if not drop else _without((text or "").encode(), drop, least, copy_share)
+                text, n, copy = (text, 0, False) if not drop else _without((text or "").encode(), drop, least)
                 out.append(text)
                 gone.append(n)
                 copies.append(copy)
@@ -116,29 +128,52 @@ def _rebuild(least: int, copy_share: float):
     return run
 
 
-def _without(raw: bytes, drop: list[int], least: int, copy_share: float) -> tuple[str, int, bool]:
+def _without(raw: bytes, found: list[dict], least: int) -> tuple[str, int, bool]:
+    """The text without its recurring runs, how many segments went, and whether runs of a copy stayed."""
     starts, ends, _, first, owner, _ = segments([raw])
     size = np.diff(first)
+    recurs, left, right = (np.zeros(len(owner), bool) for _ in range(3))
+    for x in found:
+        recurs[x["number"]], left[x["number"]], right[x["number"]] = True, x["open_left"], x["open_right"]
     gone = np.zeros(len(owner), bool)
-    gone[drop] = True
-    # a short segment between dropped ones goes with them
-    side = np.concatenate(([True], gone, [True]))
-    gone |= (size < least) & side[:-2] & side[2:]
-    at = np.flatnonzero(gone)
-    gaps = np.diff(at)
-    gaps = gaps[gaps > 1] - 1  # kept segments between dropped runs
-    edited = len(gaps) >= 2 and np.median(gaps) <= 3 and size[gone].sum() >= 0.2 * size.sum()
-    if edited or size[gone].sum() >= copy_share * size.sum():
-        return raw.decode(), 0, True
+    run: list[int] = []
+    short: list[int] = []
+    stayed = False
+
+    def close() -> None:
+        nonlocal stayed
+        if run:
+            if left[run[0]] or right[run[-1]]:
+                gone[run] = True
+            else:
+                stayed = True
+        run.clear()
+
+    for k in range(len(owner)):
+        if recurs[k]:
+            if left[k]:
+                close()
+                short.clear()
+            run.extend(short + [k])
+            short.clear()
+            if right[k]:
+                close()
+        elif run and size[k] < least:
+            short.append(k)  # a short segment goes with the run on both its sides
+        else:
+            close()
+            short.clear()
+    close()
     begin = starts[first[:-1]]
     begin[0] = 0
     end = np.append(begin[1:], len(raw))
     kept = [raw[a:b] for a, b, g in zip(begin.tolist(), end.tolist(), gone.tolist()) if not g]
-    return b"".join(kept).decode(), int(gone.sum()), False
+    return b"".join(kept).decode(), int(gone.sum()), stayed
 
 
-def recurring_lines(docs: DataFrame, min_docs: int = 4, depth: int = 3, least_tokens: int = 5, least_constant: float = 0.7) -> DataFrame:
-    """(key, drops): for each document with recurring lines, the numbers of those segments.
+def recurring_lines(docs: DataFrame, min_docs: int = 4, depth: int = 3, least_tokens: int = 5, least_constant: float = 0.7, open_share: float = 0.3) -> DataFrame:
+    """(key, drops): for each document with recurring lines, the numbers of those segments and
+    whether the neighbours before and after them vary.
 
     key is row_key of doc_id and text, so repeated rows count as one document and null
     ids are safe. Texts without words, or null, have no segments."""
@@ -151,7 +186,7 @@ def recurring_lines(docs: DataFrame, min_docs: int = 4, depth: int = 3, least_to
     words = hot.select(F.col("leaf").bitwiseAND(F.lit(mask)).alias("b")).distinct().groupBy(F.shiftright("b", 10).alias("w")).agg(F.collect_set((F.col("b") % 1024).cast("short")).alias("bits"))
     for w, b in words.collect():
         bits[np.array(b, np.int64) + (w << 10)] = 1
-    found = own.mapInArrow(_lines(depth, least_tokens, np.packbits(bits).tobytes()), "key long, number int, leaf long, line long, tokens array<long>")
+    found = own.mapInArrow(_lines(depth, least_tokens, np.packbits(bits).tobytes()), "key long, number int, leaf long, line long, before long, after long, tokens array<long>")
     found = materialise(found.join(hot, "leaf", "left_semi"), "lines")
     in_docs = found.select("key", "leaf", "line").distinct().groupBy("leaf", "line").agg(F.count("*").alias("n"))
     lines = materialise(in_docs.join(found.groupBy("line").agg(F.min("tokens").alias("tokens")), "line"), "distinct")
@@ -165,23 +200,30 @@ def recurring_lines(docs: DataFrame, min_docs: int = 4, depth: int = 3, least_to
     template = template.where((F.col("constants") >= least_constant * F.col("size")) & (F.col("constants") >= 4)).select("line", F.xxhash64("leaf", "template").alias("template"))
     # frequent lines belong to the templates too, so their documents count
     in_template = found.select("key", "line").join(template, "line").select("key", "template").distinct().groupBy("template").count().where(F.col("count") >= min_docs)
-    varied = template.join(in_template, "template", "left_semi").select("line")
-    drop = often.union(varied).distinct()
-    return found.select("key", "number", "line").join(drop, "line", "left_semi").groupBy("key").agg(F.collect_set("number").alias("drops"))
+    drop = often.select("line", F.col("line").alias("template")).union(template.join(in_template, "template", "left_semi").select("line", "template")).dropDuplicates(["line"])
+    seen = materialise(found.select("key", "number", "line", "before", "after").join(drop, "line").drop("line"), "recurring")
+
+    def varying(side: str) -> DataFrame:
+        """Whether no neighbour on that side has open_share of a template's occurrences."""
+        n = seen.groupBy("template", side).count().groupBy("template").agg(F.max("count").alias("top"), F.sum("count").alias("n"))
+        return n.select("template", (F.col("top") < open_share * F.col("n")).alias(f"open_{'left' if side == 'before' else 'right'}"))
+
+    both = seen.select("key", "number", "template").join(varying("before").join(varying("after"), "template"), "template")
+    return both.groupBy("key").agg(F.collect_set(F.struct("number", "open_left", "open_right")).alias("drops"))
 
 
-def line_dedup(docs: DataFrame, min_docs: int = 4, depth: int = 3, least_tokens: int = 5, copy_share: float = 0.75) -> DataFrame:
+def line_dedup(docs: DataFrame, min_docs: int = 4, depth: int = 3, least_tokens: int = 5, open_share: float = 0.3) -> DataFrame:
     """docs (doc_id, text and any other columns) with recurring lines taken out of text,
-    and columns n_dropped (segments) and is_copy (left whole as a copy of others).
+    and columns n_dropped (segments) and is_copy (recurring lines stayed, as a copy's).
 
     Rows come out as often as they come in; a null text stays null. A row that nothing
     is dropped from is unchanged. Columns of docs named n_dropped or is_copy are replaced."""
-    drops = recurring_lines(docs, min_docs, depth, least_tokens)
+    drops = recurring_lines(docs, min_docs, depth, least_tokens, open_share=open_share)
     cols = [c for c in docs.columns if c not in ("n_dropped", "is_copy")]
     marked = docs.select(*cols, row_key("doc_id", "text").alias("docweave_key"))
     joined = marked.join(drops.select(F.col("key").alias("docweave_key"), F.col("drops").alias("docweave_drops")), "docweave_key", "left").drop("docweave_key")
     rest = [c for c in cols if c != "text"]
     types = {f.name: f.dataType.simpleString() for f in docs.schema}
     schema = ", ".join([*(f"`{c}` {types[c]}" for c in rest), "text string", "n_dropped int", "is_copy boolean"])
-    done = joined.select(*rest, F.col("text").cast("string").alias("text"), "docweave_drops").mapInArrow(_rebuild(least_tokens, copy_share), schema)
+    done = joined.select(*rest, F.col("text").cast("string").alias("text"), "docweave_drops").mapInArrow(_rebuild(least_tokens), schema)
     return done.select(*cols, "n_dropped", "is_copy")
