@@ -129,7 +129,7 @@ def _pieces(path: str, capacity: int, end_id: int, keep_ids: bool):
         enc = _encoders.get(path) or _encoders.setdefault(path, Encoder(path))
         for batch in it:
             doc_ids, texts = batch.column(0).to_pylist(), [(x or "").encode() for x in batch.column(1).to_pylist()]
-            for a, b in batches(texts):
+            for a, b in batches(texts, 2 << 20):
                 ids, bounds = enc(texts[a:b])
                 rows = []
                 for i in range(b - a):

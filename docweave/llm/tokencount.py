@@ -90,7 +90,7 @@ def _count(path: str):
         for batch in it:
             texts = [(x or "").encode() for x in batch.column(0).to_pylist()]
             words, tokens = [], []
-            for a, b in batches(texts):
+            for a, b in batches(texts, 2 << 20):
                 raw = b"\n".join(texts[a:b]) + b"\n"
                 buf = np.frombuffer(raw, np.uint8)
                 starts, ends = spans(buf)
