@@ -11,6 +11,7 @@ pair. Equal fingerprints are one entry with a count, so copies are never paired.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -56,6 +57,17 @@ def within_radius(queries: DataFrame, entries: DataFrame, radius: int = 3) -> Da
 _LOW = -(1 << 63)
 
 
+def _place(k: Column, cuts: list[int]) -> Column:
+    """How many of the sorted cuts are at most k, in two steps of about sqrt(len(cuts)) comparisons."""
+    if not cuts:
+        return F.lit(0)
+    step = math.isqrt(len(cuts)) + 1
+    groups = [cuts[i : i + step] for i in range(0, len(cuts), step)]
+    count = lambda xs: F.size(F.filter(xs, lambda c: k >= c))
+    group = count(F.array(*(F.lit(g[0]) for g in groups)))
+    return F.when(group == 0, 0).otherwise((group - 1) * step + count(F.get(F.array(*(F.array(*map(F.lit, g)) for g in groups)), group - 1)))
+
+
 def with_next(docs: DataFrame, shares: int) -> DataFrame:
     """doc_id, text (null: empty), row (unique), next_row and next_text: of the next row in
     ascending doc_id (nulls first, equal ids in the order of their texts' hashes), after the last
@@ -64,13 +76,14 @@ def with_next(docs: DataFrame, shares: int) -> DataFrame:
     own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOW)).alias("k"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     ids = own.select(F.col("k"))
     cuts = sorted({int(x) for x in ids.approxQuantile("k", [i / shares for i in range(1, shares)], 0.2 / shares)}) if shares > 1 else []
-    share = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: F.col("k") >= c)) if cuts else F.lit(0)
-    firsts = sorted((r[0], r[1]) for r in ids.groupBy(share.alias("share")).agg(F.min("k")).collect())  # at most `shares` rows
-    places = [s for s, _ in firsts]
-    before = dict(zip(places, [places[-1], *places[:-1]])) if places else {}
-    ghost = reduce(lambda c, x: c.when(F.col("k") == x[1], F.lit(before[x[0]])), firsts, F.when(F.lit(False), F.lit(0)))
+    share = _place(F.col("k"), cuts)
+    firsts = ids.groupBy(share.alias("own")).agg(F.min("k").alias("k"))
+    of = sorted((r[0], r[1]) for r in firsts.collect())  # at most `shares` rows
+    before = [(k, of[n - 1][0]) for n, (_, k) in enumerate(of)]
+    ghosts = own.sparkSession.createDataFrame(before, "k long, to int")
     # a ghost is the second copy, even where a share is its own neighbour
-    dealt = own.withColumn("share", share.cast("int")).withColumn("to", ghost.cast("int")).select("k", "text", "share", F.posexplode(F.when(F.col("to").isNull(), F.array("share")).otherwise(F.array("share", "to"))).alias("is_ghost", "at"))
+    copies = F.when(F.col("to").isNull(), F.array("share")).otherwise(F.array("share", "to"))
+    dealt = own.withColumn("share", share).join(F.broadcast(ghosts), "k", "left").select("k", "text", "share", F.posexplode(copies).alias("is_ghost", "at"))
     w = Window.partitionBy("at").orderBy("is_ghost", "k", F.xxhash64("text"))
     one = lambda s, n: s.cast("long") * F.lit(1 << 40) + n
     out = dealt.withColumn("n", F.row_number().over(w)).withColumn("after", F.lead(F.struct("text", "share", "is_ghost")).over(w)).where("is_ghost = 0")
