@@ -240,7 +240,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, fit_rows: int = 12_000)
     usable = labels.where(F.col("toxic").isNotNull() & ~held_out() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("label_id"), F.col("toxic").cast("int").alias("toxic")).groupBy("label_id").agg(F.max("toxic").alias("toxic"))
     n = usable.count()
     chosen = usable.where(F.pmod(F.xxhash64("label_id"), F.lit(1_000_000)) < min(1.0, fit_rows / max(n, 1)) * 1_000_000)
-    known = docs.select("doc_id", "text").join(chosen, docs.doc_id == chosen.label_id)
+    # about fit_rows ids: a bound that the corpus does not move
+    known = docs.select("doc_id", "text").join(F.broadcast(chosen), docs.doc_id == chosen.label_id)
     got = known.select("toxic", F.col("text").cast("string")).mapInArrow(_collect(model), "toxic int, features array<int>").toArrow()
     y = np.array(got.column(0).to_pylist(), float)
     flat = got.column(1).combine_chunks()
