@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Scripts counted to tell a language.
 SCRIPTS = {"ar": "[؀-ۿݐ-ݿࢠ-ࣿ]", "ru": "[Ѐ-ӿ]", "zh": "[一-鿿぀-ヿ가-힯]", "en": "[A-Za-z]"}
+#: Fixed value: Arabic letters with their presentation forms.
+ARABIC = "[\u0600-\u06FF\u0750-\u077F\u08A0-\u08FF\uFB50-\uFDFF\uFE70-\uFEFF]"
 KANA, HANGUL = "[぀-ヿ]", "[가-힯]"
 SAMPLE, LEAST = 8000, 8
 RTL = ("ar", "fa", "ur", "he")
@@ -29,7 +31,7 @@ def blank(c: Column) -> Column:
 
 
 def contains_arabic(c: Column) -> Column:
-    return F.coalesce(c.rlike(SCRIPTS["ar"]), F.lit(False))
+    return F.coalesce(c.rlike(ARABIC), F.lit(False))
 
 
 def is_cjk(c: Column) -> Column:

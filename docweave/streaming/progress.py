@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Stages in order.
-STAGES = ("upload", "rasterize", "normalize", "layout", "vision", "ocr", "merge", "analyze", "translate", "solve", "reconstruct", "complete")
+STAGES = ("preparing", "normalizing", "layout_detection", "vision_understanding", "ocr", "building_model", "translating", "layout_solver", "review", "reconstructing", "verification", "complete")
 SCHEMA = "document_id long, stage string, elapsed_ms long, progress double, message string"
 
 
