@@ -79,3 +79,13 @@ def test_components(spark):
     got = {r.id: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 4: 1, 6: 6, 7: 6, 8: 6, 9: 6, 20: 20, 30: 20}
     assert Counter(got.values())[1] == 4
+
+
+def test_sql_form(spark, sf):
+    import duckdb
+
+    from docweave.llm.queries import NEAR_SQL, op3_minhash_near_dedup
+
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    assert sorted(map(tuple, op3_minhash_near_dedup(spark, sf).collect())) == sorted(c.sql(NEAR_SQL).fetchall())
