@@ -162,16 +162,17 @@ def protect_tokens(spark, sf_dir):
     return p.select("doc_id", F.size("p.kept").alias("n_kept"), F.array_join("p.kept", "|").alias("kept"), (T.unprotect(F.col("p.text"), F.col("p.kept")) == F.col("text")).alias("restored"))
 
 
-@query(f"WITH {BLOCKS_SQL}, w AS (SELECT doc_id, i, x, width, list_filter(regexp_split_to_array(original_text, '\\s+'), lambda t: t <> '') AS ws FROM fx_blocks), e AS (SELECT doc_id, i, x, width, unnest(ws) AS word, unnest(range(len(ws))) AS k, len(ws) AS n FROM w), g AS (SELECT *, length(word) + CASE WHEN k < n - 1 THEN 0.35::DOUBLE ELSE 0 END AS wt FROM e) SELECT doc_id, i, k::INT AS k, word, round(x + width * coalesce(sum(wt) OVER (PARTITION BY doc_id, i ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / sum(wt) OVER (PARTITION BY doc_id, i), 6) AS x, round(width * wt / sum(wt) OVER (PARTITION BY doc_id, i), 6) AS w FROM g")
+@query(f"WITH {BLOCKS_SQL}, w AS (SELECT doc_id, i, x, width, list_filter(regexp_split_to_array(original_text, '\\s+'), lambda t: t <> '') AS ws FROM fx_blocks), e AS (SELECT doc_id, i, x, width, unnest(ws) AS word, unnest(range(len(ws))) AS k, len(ws) AS n FROM w), g AS (SELECT *, length(word) * 100 + CASE WHEN k < n - 1 THEN 35 ELSE 0 END AS wt FROM e) SELECT doc_id, i, k::INT AS k, word, round(x + width * coalesce(sum(wt) OVER (PARTITION BY doc_id, i ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / sum(wt) OVER (PARTITION BY doc_id, i), 6) AS x, round(width * wt / sum(wt) OVER (PARTITION BY doc_id, i), 6) AS w FROM g")
 def word_boxes(spark, sf_dir):
-    # words by window, not by array: linear in the words of a line however long it is
+    # words by window, not by array: linear in the words of a line however long it is; weights in
+    # hundredths, so that sums are exact
     from pyspark.sql import Window
 
     b = blocks(spark, sf_dir).withColumn("ws", T.tokens(F.col("original_text")))
     e = b.select("doc_id", "i", "x", "width", F.size("ws").alias("n"), F.posexplode("ws").alias("k", "word"))
-    e = e.withColumn("wt", F.length("word") + F.when(F.col("k") < F.col("n") - 1, F.lit(0.35)).otherwise(F.lit(0.0)))
+    e = e.withColumn("wt", F.length("word") * 100 + F.when(F.col("k") < F.col("n") - 1, 35).otherwise(0))
     line = Window.partitionBy("doc_id", "i")
-    before = F.coalesce(F.sum("wt").over(line.orderBy("k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    before = F.coalesce(F.sum("wt").over(line.orderBy("k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return e.select("doc_id", "i", "k", "word", F.round(F.col("x") + F.col("width") * before / F.sum("wt").over(line), 6).alias("x"), F.round(F.col("width") * F.col("wt") / F.sum("wt").over(line), 6).alias("w"))
 
 
