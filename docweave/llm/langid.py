@@ -35,7 +35,7 @@ _LETTER = np.array([chr(i).isalpha() for i in range(0x10000)])
 _A, _B, _C = (np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D))
 
 
-def vectors(texts: list[str], block: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
+def vectors(texts: list[str], block: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
     """Row for each text: square roots of gram counts, of length 1; and whether it has a letter."""
     out = np.zeros((len(texts), DIM), np.float32)
     some = np.zeros(len(texts), bool)
@@ -61,7 +61,10 @@ def vectors(texts: list[str], block: int = 1 << 21) -> tuple[np.ndarray, np.ndar
             h = h ^ (h >> np.uint32(15))
             h = (h * np.uint32(0x2C1B3C6D)) >> np.uint32(20)
             got = np.bincount(row * DIM + h, minlength=width * DIM).reshape(width, DIM)
-            np.add.at(out, r, got.astype(np.float32))
+            if len(parts) == 1 or (np.diff(r) > 0).all():
+                out[r] += got
+            else:  # a long text has several parts
+                np.add.at(out, r, got.astype(np.float32))
         some[r[np.unique(row)]] = True
 
     parts, size = [], 0
@@ -69,7 +72,7 @@ def vectors(texts: list[str], block: int = 1 << 21) -> tuple[np.ndarray, np.ndar
         for k in range(0, len(t), block):
             parts.append((i, t[k : k + block]))
             size += len(parts[-1][1])
-            if size >= block or len(parts) >= 400:
+            if size >= block or len(parts) >= 200:
                 add(parts)
                 parts, size = [], 0
     if parts:
@@ -79,7 +82,7 @@ def vectors(texts: list[str], block: int = 1 << 21) -> tuple[np.ndarray, np.ndar
     return out / np.maximum(norm, 1e-9), some
 
 
-def svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, rounds: int = 80) -> np.ndarray:
+def svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, rounds: int = 40) -> np.ndarray:
     """Weights (bias last) of a linear support vector machine, squared hinge, y in -1, 1.
     Classes count alike. Accelerated gradient steps."""
     n = len(y)
@@ -159,7 +162,7 @@ def _predict(model: Model | None):
     return run
 
 
-def identify_language(docs: DataFrame, fit_rows: int = 6000) -> DataFrame:
+def identify_language(docs: DataFrame, fit_rows: int = 4000) -> DataFrame:
     """docs with lang_pred and score (0 to 1).
 
     Learned from text and non-null lang of rows whose crc32(doc_id) mod 3 is not 1, a hashed
