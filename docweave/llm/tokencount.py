@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ._vec import batches, hash_spans, spans
 
 MARK = "▁"
-NODES, WORDS = 1_500_000, 1_000_000
+NODES, WORDS = 400_000, 400_000
 BYTE_SCORE = -25.0  #: of each byte of a character that no piece has
 
 
