@@ -59,6 +59,13 @@ def batches(texts: Sequence[bytes], limit: int = BLOCK) -> Iterator[tuple[int, i
         yield a, len(texts)
 
 
+def slices(it, rows: int = 1000):
+    """Arrow batches in slices of few rows, so that a worker holds few texts as Python objects."""
+    for batch in it:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def spans(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the words of a buffer whose last byte is white space."""
     word = (~SPACE[buf]).view(np.int8)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import materialise
-from ._vec import batches, hash_spans, spans, windows
+from ._vec import batches, hash_spans, slices, spans, windows
 
 BITS = 20
 #: Fixed value: words that count as a unit after a number.
@@ -107,7 +107,7 @@ def _windows(k: int, least_words: int, bitmap: bytes | None):
     wanted = None if bitmap is None else np.unpackbits(np.frombuffer(bitmap, np.uint8)).astype(bool)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        for batch in slices(it):
             keys, texts = batch.column(0).to_pylist(), [(x or "").encode() for x in batch.column(1).to_pylist()]
             for a, b in batches(texts):
                 t = templates(texts[a:b])

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import materialise
-from ._vec import _C, batches, hash_spans, mix, spans
+from ._vec import _C, batches, hash_spans, mix, slices, spans
 from .decontam import _DIGIT, row_key
 
 BITS = 23
@@ -80,7 +80,7 @@ def _lines(depth: int, least: int, bitmap: bytes | None):
     hot = None if bitmap is None else np.unpackbits(np.frombuffer(bitmap, np.uint8)).astype(bool)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        for batch in slices(it):
             keys, texts = np.array(batch.column(0).to_pylist(), np.int64), [(x or "").encode() for x in batch.column(1).to_pylist()]
             for a, b in batches(texts):
                 _, _, token, first, owner, begins = segments(texts[a:b])
@@ -112,7 +112,7 @@ def _lines(depth: int, least: int, bitmap: bytes | None):
 
 def _rebuild(least: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        for batch in slices(it):
             texts, drops = batch.column("text").to_pylist(), batch.column("docweave_drops").to_pylist()
             out, gone, copies = [], [], []
             for text, drop in zip(texts, drops):

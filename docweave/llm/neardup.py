@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import materialise
-from ._vec import batches, mix, shingle_sets
+from ._vec import batches, mix, shingle_sets, slices
 from .components import components
 
 T, ROWS = 128, 4  #: coordinates; coordinates in a band: a pair at 0.75 misses all 32 bands with probability 5e-6
@@ -77,7 +77,7 @@ def _lower(texts: pa.ChunkedArray | pa.Array) -> list[bytes]:
 
 def _signatures(k: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        for batch in slices(it):
             ids, texts = batch.column(0), _lower(batch.column(1))
             for a, b in batches(texts):
                 sets, bounds = shingle_sets(texts[a:b], k)
@@ -100,7 +100,7 @@ def _signatures(k: int):
 
 def _sets(k: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        for batch in slices(it):
             ids, texts = batch.column(0), _lower(batch.column(1))
             for a, b in batches(texts):
                 sets, bounds = shingle_sets(texts[a:b], k)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import materialise
-from ._vec import batches, hash_spans, spans
+from ._vec import batches, hash_spans, slices, spans
 
 #: Bounds of the caches of each Python worker (entries); they are emptied when full.
 WORDS, PARTS = 1_000_000, 400_000
@@ -127,7 +127,7 @@ _encoders: dict[str, Encoder] = {}
 def _pieces(path: str, capacity: int, end_id: int, keep_ids: bool):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoders.get(path) or _encoders.setdefault(path, Encoder(path))
-        for batch in it:
+        for batch in slices(it):
             doc_ids, texts = batch.column(0).to_pylist(), [(x or "").encode() for x in batch.column(1).to_pylist()]
             for a, b in batches(texts, 2 << 20):
                 ids, bounds = enc(texts[a:b])

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._vec import batches, hash_spans, spans
+from ._vec import batches, hash_spans, slices, spans
 
 MARK = "▁"
 NODES, WORDS = 400_000, 400_000
@@ -87,7 +87,7 @@ _tries: dict[str, tuple[Trie, dict[int, int]]] = {}
 def _count(path: str):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, known = _tries.get(path) or _tries.setdefault(path, (Trie(unigram_vocabulary(path)), {}))
-        for batch in it:
+        for batch in slices(it):
             texts = [(x or "").encode() for x in batch.column(0).to_pylist()]
             words, tokens = [], []
             for a, b in batches(texts, 2 << 20):

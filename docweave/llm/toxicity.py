@@ -23,12 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialise
+from ._vec import slices
 
 ALPHABET = 28  #: 0: not a letter, 1-26: a-z, 27: any other letter
 ORDER = 4
 FEATURES = 1 << 24
-CACHE = 400_000
+CACHE = 100_000
 #: What a sign may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "¡": "i", "£": "l"}
 SEPARATORS = set(".-_*~'|/\\^`·•")
@@ -46,7 +46,7 @@ def _codes(text: str) -> np.ndarray:
 
 def _grams(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(ALPHABET**ORDER, np.int64)
-    for batch in it:
+    for batch in slices(it):
         for k in range(0, batch.num_rows, 500):
             text = "\n\n\n".join(["", *(x or "" for x in batch.column(0)[k : k + 500].to_pylist()), ""])
             for a in range(0, len(text), 1 << 22):
@@ -169,7 +169,7 @@ def features(words: set[str]) -> set[int]:
 def _collect(model: np.ndarray):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decode = Decoder(model)
-        for batch in it:
+        for batch in slices(it):
             got = [np.fromiter(features(restore(x or "", decode)), np.int32) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.list_(pa.int32()))], names=["toxic", "features"])
 
@@ -205,7 +205,7 @@ def _score(model: np.ndarray, feats: np.ndarray, weights: np.ndarray, bias: floa
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decode, weight = Decoder(model), dict(zip(feats.tolist(), weights.tolist()))
         known: dict[str, frozenset[int]] = {}  # what counts of each word
-        for batch in it:
+        for batch in slices(it):
             scores = []
             for text in batch.column(0).to_pylist():
                 found: set[int] = set()
