@@ -9,7 +9,9 @@ are dropped from all of them.
 
 A recurring part is told from a copy of a whole document by what stands around it. A run
 of recurring lines is dropped if what comes before its first line, or after its last,
-differs from document to document (no neighbour has open_share of the occurrences). In
+differs from document to document (no neighbour has open_share of the occurrences; the
+edge of a document is no neighbour). A recurring line may take short segments with it:
+each is counted together with the long segment beside it, and the run ends after it. In
 copies, exact or edited, the neighbours are mostly the same: those lines stay, for
 near-duplicate removal to judge the documents.
 
@@ -76,6 +78,23 @@ def _leaves(token: np.ndarray, first: np.ndarray, depth: int, least: int):
     return own, n, mix(leaf)
 
 
+def _chains(exact: np.ndarray, owner: np.ndarray, size: np.ndarray, least: int):
+    """Units of several segments: a segment of least tokens or more with the shorter ones that
+    follow it, up to each of them, and likewise before it. First segment, end and hash of each."""
+    n = len(exact)
+    at = np.arange(n)
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))]
+    for flip in (False, True):
+        h, who, long = (x[::-1] if flip else x for x in (exact, owner, size >= least))
+        anchor = np.maximum.accumulate(np.where(long, at, -1))
+        own = np.flatnonzero(~long & (anchor >= 0) & (who == who[np.maximum(anchor, 0)]))
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(h + (at - anchor).astype(np.uint64) * _C[10]))))
+        a, b = anchor[own], own + 1
+        hashed = mix(total[b] - total[a] + _C[11 + flip])
+        out.append((n - b, n - a, hashed) if flip else (a, b, hashed))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
 def _lines(depth: int, least: int, bitmap: bytes | None):
     hot = None if bitmap is None else np.unpackbits(np.frombuffer(bitmap, np.uint8)).astype(bool)
 
@@ -86,25 +105,29 @@ def _lines(depth: int, least: int, bitmap: bytes | None):
                 _, _, token, first, owner, begins = segments(texts[a:b])
                 if not len(owner):
                     continue
+                exact = _exact(token, first)
                 own, n, leaf = _leaves(token, first, depth, least)
-                who = owner[own]
+                more = _chains(exact, owner, np.diff(first), least)
+                head, tail = np.concatenate((own, more[0])), np.concatenate((own + 1, more[1]))
+                line, leaf = np.concatenate((exact[own], more[2])), np.concatenate((leaf, more[2]))
+                n = np.concatenate((n, np.zeros(len(more[0]), np.int64)))  # only single segments have fields
+                who = owner[head]
                 if hot is None:  # one row for a document and leaf
-                    pair = np.unique(np.stack((who.astype(np.uint64), leaf)), axis=1) if len(own) else np.zeros((2, 0), np.uint64)
+                    pair = np.unique(np.stack((who.astype(np.uint64), leaf)), axis=1) if len(head) else np.zeros((2, 0), np.uint64)
                     yield pa.RecordBatch.from_arrays([pa.array(pair[1].view(np.int64))], names=["leaf"])
                     continue
                 keep = hot[(leaf & np.uint64((1 << BITS) - 1)).astype(np.int64)]
-                own, n, leaf, who = own[keep], n[keep], leaf[keep], who[keep]
-                exact = _exact(token, first).view(np.int64)
-                same = owner[1:] == owner[:-1]  # neighbours are of the same text, or 0
-                before, after = np.zeros_like(exact), np.zeros_like(exact)
-                before[1:], after[:-1] = np.where(same, exact[:-1], 0), np.where(same, exact[1:], 0)
-                number = own - np.searchsorted(owner, who)  # of the segment in its text
-                starts = first[own]
+                head, tail, line, n, leaf, who = (x[keep] for x in (head, tail, line, n, leaf, who))
+                last = len(owner) - 1
+                near = lambda i: np.where((i >= 0) & (i <= last) & (owner[np.clip(i, 0, last)] == who), exact[np.clip(i, 0, last)], np.uint64(0)).view(np.int64)
+                before, after = near(head - 1), near(tail)  # neighbours are of the same text, or 0
+                number = head - np.searchsorted(owner, who)  # of the first segment in its text
+                starts = first[head]
                 bounds = np.concatenate(([0], np.cumsum(n)))
                 take = np.arange(bounds[-1]) + np.repeat(starts - bounds[:-1], n)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[a + who]), pa.array(number.astype(np.int32)), pa.array(leaf.view(np.int64)), pa.array(exact[own]), pa.array(before[own]), pa.array(after[own]), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(token[take].view(np.int64)))],
-                    names=["key", "number", "leaf", "line", "before", "after", "tokens"],
+                    [pa.array(keys[a + who]), pa.array(number.astype(np.int32)), pa.array((tail - head).astype(np.int32)), pa.array(leaf.view(np.int64)), pa.array(line.view(np.int64)), pa.array(before), pa.array(after), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(token[take].view(np.int64)))],
+                    names=["key", "number", "span", "leaf", "line", "before", "after", "tokens"],
                 )
 
     return run
@@ -134,7 +157,10 @@ def _without(raw: bytes, found: list[dict], least: int) -> tuple[str, int, bool]
     size = np.diff(first)
     recurs, left, right = (np.zeros(len(owner), bool) for _ in range(3))
     for x in found:
-        recurs[x["number"]], left[x["number"]], right[x["number"]] = True, x["open_left"], x["open_right"]
+        a, b = x["number"], x["number"] + x["span"]
+        recurs[a:b] = True
+        left[a] |= x["open_left"]
+        right[b - 1] |= x["open_right"]
     gone = np.zeros(len(owner), bool)
     run: list[int] = []
     short: list[int] = []
@@ -186,7 +212,7 @@ def recurring_lines(docs: DataFrame, min_docs: int = 4, depth: int = 3, least_to
     words = hot.select(F.col("leaf").bitwiseAND(F.lit(mask)).alias("b")).distinct().groupBy(F.shiftright("b", 10).alias("w")).agg(F.collect_set((F.col("b") % 1024).cast("short")).alias("bits"))
     for w, b in words.collect():
         bits[np.array(b, np.int64) + (w << 10)] = 1
-    found = own.mapInArrow(_lines(depth, least_tokens, np.packbits(bits).tobytes()), "key long, number int, leaf long, line long, before long, after long, tokens array<long>")
+    found = own.mapInArrow(_lines(depth, least_tokens, np.packbits(bits).tobytes()), "key long, number int, span int, leaf long, line long, before long, after long, tokens array<long>")
     found = materialise(found.join(hot, "leaf", "left_semi"), "lines")
     in_docs = found.select("key", "leaf", "line").distinct().groupBy("leaf", "line").agg(F.count("*").alias("n"))
     lines = materialise(in_docs.join(found.groupBy("line").agg(F.min("tokens").alias("tokens")), "line"), "distinct")
@@ -201,15 +227,17 @@ def recurring_lines(docs: DataFrame, min_docs: int = 4, depth: int = 3, least_to
     # frequent lines belong to the templates too, so their documents count
     in_template = found.select("key", "line").join(template, "line").select("key", "template").distinct().groupBy("template").count().where(F.col("count") >= min_docs)
     drop = often.select("line", F.col("line").alias("template")).union(template.join(in_template, "template", "left_semi").select("line", "template")).dropDuplicates(["line"])
-    seen = materialise(found.select("key", "number", "line", "before", "after").join(drop, "line").drop("line"), "recurring")
+    seen = materialise(found.select("key", "number", "span", "line", "before", "after").join(drop, "line").drop("line"), "recurring")
 
     def varying(side: str) -> DataFrame:
-        """Whether no neighbour on that side has open_share of a template's occurrences."""
-        n = seen.groupBy("template", side).count().groupBy("template").agg(F.max("count").alias("top"), F.sum("count").alias("n"))
-        return n.select("template", (F.col("top") < open_share * F.col("n")).alias(f"open_{'left' if side == 'before' else 'right'}"))
-
-    both = seen.select("key", "number", "template").join(varying("before").join(varying("after"), "template"), "template")
-    return both.groupBy("key").agg(F.collect_set(F.struct("number", "open_left", "open_right")).alias("drops"))
+        """Whether no neighbour on that side has open_share of a template's occurrences; the edge
+        of a document (0) is no neighbour, and one occurrence is no share."""
+        n = seen.where(F.col(side) != 0).groupBy("template", side).count().groupBy("template").agg(F.max("count").alias("top"), F.sum("count").alias("n"))
+        return n.select("template", (F.col("top") < F.greatest(F.lit(2), open_share * F.col("n"))).alias(f"open_{'left' if side == 'before' else 'right'}"))
+
+    both = seen.select("key", "number", "span", "template").join(varying("before").join(varying("after"), "template", "full"), "template", "left")
+    both = both.fillna(False, ["open_left", "open_right"])
+    return both.groupBy("key").agg(F.collect_set(F.struct("number", "span", "open_left", "open_right")).alias("drops"))
 
 
 def line_dedup(docs: DataFrame, min_docs: int = 4, depth: int = 3, least_tokens: int = 5, open_share: float = 0.3) -> DataFrame:

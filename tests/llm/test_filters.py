@@ -25,6 +25,15 @@ def test_recurring_passages_go_and_copies_stay(docs_of, words):
         assert got[200 + i].text == copy and got[200 + i].is_copy
 
 
+def test_headers_and_footers_go_at_the_edge_of_documents(docs_of, words):
+    line = words(9, "h") + ". Eriner thanea."
+    own = {i: [words(11, f"e{i}/{k}") + "." for k in range(4)] for i in range(60)}
+    rows = [(i, "\n".join([line, *t] if i < 20 else [*t, line] if i < 40 else [*t[:2], line, *t[2:]])) for i, t in own.items()]
+    for r in line_dedup(docs_of(rows)).collect():
+        assert r.n_dropped == 2 and "Eriner" not in r.text and words(9, "h") not in r.text, r.doc_id
+        assert all(k in r.text for k in own[r.doc_id])
+
+
 def test_line_dedup_of_awkward_rows(docs_of, awkward):
     docs = docs_of(awkward).withColumn("drops", F.lit(1)).withColumn("n_dropped", F.lit("x"))
     got = line_dedup(docs)
