@@ -8,9 +8,10 @@ same constants are one template. Templates that recur in min_docs documents or m
 are dropped from all of them.
 
 A recurring part is told from a copy of a whole document by what stands around it. A run
-of recurring lines is dropped if what comes before its first line, or after its last,
-differs from document to document (no neighbour has open_share of the occurrences; the
-edge of a document is no neighbour). A recurring line may take short segments with it:
+of recurring lines is dropped if what comes before its first line, or after its last, is
+the document's own: neither of the next two neighbours has open_share of the line's
+occurrences (the edge of a document is no neighbour). This is judged for each occurrence,
+so copies of one document that hold a passage do not keep it in all others. A recurring line may take short segments with it:
 each is counted together with the long segment beside it, and the run ends after it. In
 copies, exact or edited, the neighbours are mostly the same: those lines stay, for
 near-duplicate removal to judge the documents.
@@ -120,13 +121,13 @@ def _lines(depth: int, least: int, bitmap: bytes | None):
                 head, tail, line, n, leaf, who = (x[keep] for x in (head, tail, line, n, leaf, who))
                 last = len(owner) - 1
                 near = lambda i: np.where((i >= 0) & (i <= last) & (owner[np.clip(i, 0, last)] == who), exact[np.clip(i, 0, last)], np.uint64(0)).view(np.int64)
-                before, after = near(head - 1), near(tail)  # neighbours are of the same text, or 0
+                before, after = (pa.FixedSizeListArray.from_arrays(pa.array(np.stack(x, axis=1).ravel()), 2).cast(pa.list_(pa.int64())) for x in ((near(head - 1), near(head - 2)), (near(tail), near(tail + 1))))  # the next two of the same text, or 0
                 number = head - np.searchsorted(owner, who)  # of the first segment in its text
                 starts = first[head]
                 bounds = np.concatenate(([0], np.cumsum(n)))
                 take = np.arange(bounds[-1]) + np.repeat(starts - bounds[:-1], n)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[a + who]), pa.array(number.astype(np.int32)), pa.array((tail - head).astype(np.int32)), pa.array(leaf.view(np.int64)), pa.array(line.view(np.int64)), pa.array(before), pa.array(after), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(token[take].view(np.int64)))],
+                    [pa.array(keys[a + who]), pa.array(number.astype(np.int32)), pa.array((tail - head).astype(np.int32)), pa.array(leaf.view(np.int64)), pa.array(line.view(np.int64)), before, after, pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(token[take].view(np.int64)))],
                     names=["key", "number", "span", "leaf", "line", "before", "after", "tokens"],
                 )
 
@@ -199,7 +200,7 @@ def _without(raw: bytes, found: list[dict], least: int) -> tuple[str, int, bool]
 
 def recurring_lines(docs: DataFrame, min_docs: int = 4, depth: int = 3, least_tokens: int = 5, least_constant: float = 0.7, open_share: float = 0.3) -> DataFrame:
     """(key, drops): for each document with recurring lines, the numbers of those segments and
-    whether the neighbours before and after them vary.
+    whether the neighbours before and after them are the document's own.
 
     key is row_key of doc_id and text, so repeated rows count as one document and null
     ids are safe. Texts without words, or null, have no segments."""
@@ -212,7 +213,7 @@ def recurring_lines(docs: DataFrame, min_docs: int = 4, depth: int = 3, least_to
     words = hot.select(F.col("leaf").bitwiseAND(F.lit(mask)).alias("b")).distinct().groupBy(F.shiftright("b", 10).alias("w")).agg(F.collect_set((F.col("b") % 1024).cast("short")).alias("bits"))
     for w, b in words.collect():
         bits[np.array(b, np.int64) + (w << 10)] = 1
-    found = own.mapInArrow(_lines(depth, least_tokens, np.packbits(bits).tobytes()), "key long, number int, span int, leaf long, line long, before long, after long, tokens array<long>")
+    found = own.mapInArrow(_lines(depth, least_tokens, np.packbits(bits).tobytes()), "key long, number int, span int, leaf long, line long, before array<long>, after array<long>, tokens array<long>")
     found = materialise(found.join(hot, "leaf", "left_semi"), "lines")
     in_docs = found.select("key", "leaf", "line").distinct().groupBy("leaf", "line").agg(F.count("*").alias("n"))
     lines = materialise(in_docs.join(found.groupBy("line").agg(F.min("tokens").alias("tokens")), "line"), "distinct")
@@ -229,14 +230,21 @@ def recurring_lines(docs: DataFrame, min_docs: int = 4, depth: int = 3, least_to
     drop = often.select("line", F.col("line").alias("template")).union(template.join(in_template, "template", "left_semi").select("line", "template")).dropDuplicates(["line"])
     seen = materialise(found.select("key", "number", "span", "line", "before", "after").join(drop, "line").drop("line"), "recurring")
 
-    def varying(side: str) -> DataFrame:
-        """Whether no neighbour on that side has open_share of a template's occurrences; the edge
-        of a document (0) is no neighbour, and one occurrence is no share."""
-        n = seen.where(F.col(side) != 0).groupBy("template", side).count().groupBy("template").agg(F.max("count").alias("top"), F.sum("count").alias("n"))
-        return n.select("template", (F.col("top") < F.greatest(F.lit(2), open_share * F.col("n"))).alias(f"open_{'left' if side == 'before' else 'right'}"))
-
-    both = seen.select("key", "number", "span", "template").join(varying("before").join(varying("after"), "template", "full"), "template", "left")
-    both = both.fillna(False, ["open_left", "open_right"])
+    def shared(side: str) -> DataFrame:
+        """Of each template, the neighbours on that side (the next two) that have open_share of
+        its occurrences; the edge of a document (0) is no neighbour, and one occurrence no share."""
+        near = seen.where(F.col(side)[0] != 0).select("template", F.explode(F.array_distinct(side)).alias("near"), (F.col(side)[0]).alias("next"))
+        count = near.where(F.col("near") != 0).groupBy("template", "near").agg(F.count("*").alias("c"), F.count(F.when(F.col("near") == F.col("next"), 1)).alias("n"))
+        total = count.groupBy("template").agg(F.sum("n").alias("total"))
+        top = count.join(total, "template").where(F.col("c") >= F.greatest(F.lit(2), open_share * F.col("total")))
+        return top.groupBy("template").agg(F.collect_list("near").alias(f"shared_{side}"))  # few: each has a share
+
+    def is_open(side: str):
+        """Whether an occurrence has a neighbour on that side, and none that is shared."""
+        return (F.col(side)[0] != 0) & ~F.coalesce(F.arrays_overlap(side, f"shared_{side}"), F.lit(False))
+
+    both = seen.join(shared("before").join(shared("after"), "template", "full"), "template", "left")
+    both = both.select("key", "number", "span", is_open("before").alias("open_left"), is_open("after").alias("open_right"))
     return both.groupBy("key").agg(F.collect_set(F.struct("number", "span", "open_left", "open_right")).alias("drops"))
 
 

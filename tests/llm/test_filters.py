@@ -34,6 +34,17 @@ def test_headers_and_footers_go_at_the_edge_of_documents(docs_of, words):
         assert all(k in r.text for k in own[r.doc_id])
 
 
+def test_copies_that_hold_a_passage_do_not_keep_it_elsewhere(docs_of, words):
+    passage = " ".join(words(12, f"q{i}") + "." for i in range(3))
+    own = {i: [words(11, f"g{i}/{k}") + "." for k in range(4)] for i in range(71)}
+    text = lambda t: " ".join([*t[:2], passage, *t[2:]])
+    rows = [(i, text(own[i])) for i in range(40)] + [(100 + i, text(own[70])) for i in range(30)]
+    rows += [(200 + i, text([own[70][0], own[50 + i][0], *own[70][2:]])) for i in range(5)]  # edited beside it
+    got = {r.doc_id: r for r in line_dedup(docs_of(rows)).collect()}
+    assert all(got[i].n_dropped == 3 and words(12, "q1") not in got[i].text for i in range(40))
+    assert all(r.n_dropped == 0 and r.is_copy for i, r in got.items() if i >= 100)
+
+
 def test_line_dedup_of_awkward_rows(docs_of, awkward):
     docs = docs_of(awkward).withColumn("drops", F.lit(1)).withColumn("n_dropped", F.lit("x"))
     got = line_dedup(docs)
