@@ -4,8 +4,10 @@ Lines are cut at line ends and at sentence ends, so that a passage pasted into t
 middle of a line is seen too. The tree has fixed depth: token count, then the leading
 tokens (a token with a digit is a wildcard). In a leaf, a token that enough documents
 have at its place is constant and any other token is a variable field; lines with the
-same constants are one template. Templates that recur in min_docs documents or more
-are dropped from all of them.
+same constants are one template. Enough is min_docs, four times as many, and so on up to
+the leaf's documents, each a template of its own: values of a field are variable at some
+level however large the table. Templates that recur in min_docs documents or more, or fit
+a line that does, are dropped from all of them.
 
 A recurring part is told from a copy of a whole document by what stands around it. A run
 of recurring lines is dropped if what comes before its first line, or after its last, is
@@ -217,17 +219,29 @@ def recurring_lines(docs: DataFrame, min_docs: int = 4, depth: int = 3, least_to
     found = materialise(found.join(hot, "leaf", "left_semi"), "lines")
     in_docs = found.select("key", "leaf", "line").distinct().groupBy("leaf", "line").agg(F.count("*").alias("n"))
     lines = materialise(in_docs.join(found.groupBy("line").agg(F.min("tokens").alias("tokens")), "line"), "distinct")
-    often = lines.where(F.col("n") >= min_docs).select("line")  # no variable field: the line is its own template
-    rare = lines.where(F.col("n") < min_docs)
-    places = lines.select("leaf", "n", F.posexplode("tokens").alias("place", "token"))
-    constant = places.groupBy("leaf", "place", "token").agg(F.sum("n").alias("n")).where(F.col("n") >= min_docs).select("leaf", "place", "token", F.lit(True).alias("kept"))
-    tagged = rare.select("leaf", "line", F.size("tokens").alias("size"), F.posexplode("tokens").alias("place", "token")).join(constant, ["leaf", "place", "token"])
-    part = F.xxhash64("place", "token").cast("decimal(20,0)")
-    template = tagged.where(F.col("token") != int(_WILD)).groupBy("leaf", "line", "size").agg(F.count("*").alias("constants"), F.sum(part).alias("template"))
-    template = template.where((F.col("constants") >= least_constant * F.col("size")) & (F.col("constants") >= 4)).select("line", F.xxhash64("leaf", "template").alias("template"))
-    # frequent lines belong to the templates too, so their documents count
-    in_template = found.select("key", "line").join(template, "line").select("key", "template").distinct().groupBy("template").count().where(F.col("count") >= min_docs)
-    drop = often.select("line", F.col("line").alias("template")).union(template.join(in_template, "template", "left_semi").select("line", "template")).dropDuplicates(["line"])
+    places = lines.select("leaf", "line", "n", F.size("tokens").alias("size"), F.posexplode("tokens").alias("place", "token")).where(F.col("token") != int(_WILD))
+    common = places.groupBy("leaf", "place", "token").agg(F.sum("n").alias("docs")).where(F.col("docs") >= min_docs)
+    tagged = places.join(common, ["leaf", "place", "token"]).groupBy("leaf", "line", "n", "size").agg(F.collect_list(F.struct("docs", "place", "token")).alias("c"), F.max("docs").alias("top"))
+    levels = F.sequence(F.lit(0), F.floor(F.log(4.0, F.col("top") / min_docs) + 1e-9).cast("int"))
+    # what is constant at each level: min_docs documents, four times as many, and so on
+    kept = F.transform(levels, lambda j: F.array_sort(F.transform(F.filter("c", lambda x: x.docs >= min_docs * F.pow(F.lit(4.0), j)), lambda x: F.struct(x.place.alias("place"), x.token.alias("token")))))
+    cand = tagged.select("leaf", "line", "n", "size", F.explode(F.array_distinct(kept)).alias("constants"))
+    cand = cand.where((F.size("constants") >= least_constant * F.col("size")) & (F.size("constants") >= 4))
+    cand = materialise(cand.withColumn("template", F.xxhash64("leaf", "constants")), "templates")
+    sums = materialise(cand.groupBy("template").agg(F.sum("n").alias("total"), F.max("n").alias("most")), "sums")
+    few = cand.join(sums.where(F.col("most") < min_docs), "template")
+    # recurring: a line of it is frequent, min_docs documents hold lines of it, or it fits a frequent line
+    by_line = sums.where(F.col("most") >= min_docs).select("template")
+    by_docs = found.select("key", "line").join(few.where(F.col("total") >= min_docs).select("line", "template"), "line").select("key", "template").distinct().groupBy("template").count().where(F.col("count") >= min_docs).select("template")
+    often = lines.where(F.col("n") >= min_docs)
+    whole = often.select("leaf", F.col("tokens").alias("all"), F.posexplode("tokens").alias("place", "token"))
+    probe = few.dropDuplicates(["template"]).select("template", "leaf", "constants", F.col("constants")[F.size("constants") - 1].alias("x")).select("template", "leaf", "constants", "x.place", "x.token")
+    fits = F.forall("constants", lambda x: F.get("all", x.place) == x.token)
+    by_fit = probe.join(whole, (probe.leaf == whole.leaf) & (probe.place == whole.place) & (probe.token == whole.token) & fits, "left_semi").select("template")
+    good = by_line.union(by_docs).union(by_fit).distinct().join(sums, "template")
+    # of the templates of a line, that of the most documents
+    drop = often.select("line", F.struct(F.col("n").alias("total"), F.col("line").alias("template")).alias("t")).union(cand.select("line", "template").join(good, "template").select("line", F.struct("total", "template")))
+    drop = drop.groupBy("line").agg(F.max("t").alias("t")).select("line", "t.template")
     seen = materialise(found.select("key", "number", "span", "line", "before", "after").join(drop, "line").drop("line"), "recurring")
 
     def shared(side: str) -> DataFrame:

@@ -45,6 +45,17 @@ def test_copies_that_hold_a_passage_do_not_keep_it_elsewhere(docs_of, words):
     assert all(r.n_dropped == 0 and r.is_copy for i, r in got.items() if i >= 100)
 
 
+def test_common_values_of_a_field_are_no_constants(docs_of, words):
+    cities = [words(1, f"city{i}") for i in range(12)]
+    body = lambda i: words(11, f"v{i}") + ".\n"
+    rows = [(12 * i + j, f"{body((i, j))}Your parcel was sent from {a} to {b} on Monday morning\n{body((j, i, 1))}") for i, a in enumerate(cities) for j, b in enumerate(cities)]
+    # a rare variant of a frequent line goes with it
+    seen = lambda x: f"We would like to thank our {x} readers for the kind letters"
+    rows += [(300 + i, f"{body((i, 2))}{seen('many' if i < 30 else 'old')}\n{body((i, 3))}") for i in range(31)]
+    for r in line_dedup(docs_of(rows)).collect():
+        assert r.n_dropped == 1 and "parcel" not in r.text and "readers" not in r.text, r.text
+
+
 def test_line_dedup_of_awkward_rows(docs_of, awkward):
     docs = docs_of(awkward).withColumn("drops", F.lit(1)).withColumn("n_dropped", F.lit("x"))
     got = line_dedup(docs)
