@@ -14,7 +14,8 @@ of recurring lines is dropped if what comes before its first line, or after its
 the document's own: neither of the next two neighbours has open_share of the line's
 occurrences (the edge of a document is no neighbour). This is judged for each occurrence,
 so copies of one document that hold a passage do not keep it in all others. A recurring line may take short segments with it:
-each is counted together with the long segment beside it, and the run ends after it. In
+each is counted together with the long segment beside it, and the run ends after it; a
+whole line of or with short segments counts as it is, however short. In
 copies, exact or edited, the neighbours are mostly the same: those lines stay, for
 near-duplicate removal to judge the documents.
 
@@ -45,21 +46,22 @@ _END[[ord(c) for c in ".!?"]] = True
 
 def segments(texts: list[bytes]):
     """Word spans, token hashes (digits: wildcard), first word of each segment with the
-    end, and the text that each belongs to."""
+    end, the text that each belongs to, where texts begin, word hashes, and line of each segment."""
     raw = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     starts, ends = spans(raw)
     begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
     n = len(starts)
     if not n:
         none = np.zeros(0, np.int64)
-        return starts, ends, np.zeros(0, np.uint64), np.zeros(1, np.int64), none, begins
+        return starts, ends, np.zeros(0, np.uint64), np.zeros(1, np.int64), none, begins, np.zeros(0, np.uint64), none
     digits = np.concatenate(([0], np.cumsum(_DIGIT[raw])))
-    token = np.where(digits[ends] > digits[starts], _WILD, hash_spans(raw, starts, ends))
+    word = hash_spans(raw, starts, ends)
+    token = np.where(digits[ends] > digits[starts], _WILD, word)
     lines = np.concatenate(([0], np.cumsum(raw == 10)))
     new = np.concatenate(([True], (lines[starts[1:]] > lines[ends[:-1]]) | _END[raw[ends[:-1] - 1]]))
     first = np.flatnonzero(new)
     owner = np.searchsorted(begins, starts[first], "right") - 1
-    return starts, ends, token, np.append(first, n), owner, begins
+    return starts, ends, token, np.append(first, n), owner, begins, word, lines[starts[first]]
 
 
 def _exact(token: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -98,6 +100,16 @@ def _chains(exact: np.ndarray, owner: np.ndarray, size: np.ndarray, least: int):
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
+def _physical(word: np.ndarray, first: np.ndarray, row: np.ndarray, least: int):
+    """Units of whole lines that have a segment of under least tokens: first segment, end and
+    hash of the words as they are."""
+    own = np.flatnonzero(np.diff(row, prepend=-1))
+    end = np.append(own[1:], len(row))
+    short = np.concatenate(([0], np.cumsum(np.diff(first) < least)))
+    keep = short[end] > short[own]
+    return own[keep], end[keep], mix(_exact(word, first[np.append(own, len(row))])[keep] + _C[13])
+
+
 def _lines(depth: int, least: int, bitmap: bytes | None):
     hot = None if bitmap is None else np.unpackbits(np.frombuffer(bitmap, np.uint8)).astype(bool)
 
@@ -105,12 +117,12 @@ def _lines(depth: int, least: int, bitmap: bytes | None):
         for batch in slices(it):
             keys, texts = np.array(batch.column(0).to_pylist(), np.int64), [(x or "").encode() for x in batch.column(1).to_pylist()]
             for a, b in batches(texts):
-                _, _, token, first, owner, begins = segments(texts[a:b])
+                _, _, token, first, owner, _, word, row = segments(texts[a:b])
                 if not len(owner):
                     continue
                 exact = _exact(token, first)
                 own, n, leaf = _leaves(token, first, depth, least)
-                more = _chains(exact, owner, np.diff(first), least)
+                more = [np.concatenate(x) for x in zip(_chains(exact, owner, np.diff(first), least), _physical(word, first, row, least))]
                 head, tail = np.concatenate((own, more[0])), np.concatenate((own + 1, more[1]))
                 line, leaf = np.concatenate((exact[own], more[2])), np.concatenate((leaf, more[2]))
                 n = np.concatenate((n, np.zeros(len(more[0]), np.int64)))  # only single segments have fields
@@ -156,7 +168,7 @@ def _rebuild(least: int):
 
 def _without(raw: bytes, found: list[dict], least: int) -> tuple[str, int, bool]:
     """The text without its recurring runs, how many segments went, and whether runs of a copy stayed."""
-    starts, ends, _, first, owner, _ = segments([raw])
+    starts, _, _, first, owner, *_ = segments([raw])
     size = np.diff(first)
     recurs, left, right = (np.zeros(len(owner), bool) for _ in range(3))
     for x in found:

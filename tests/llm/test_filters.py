@@ -56,6 +56,14 @@ def test_common_values_of_a_field_are_no_constants(docs_of, words):
         assert r.n_dropped == 1 and "parcel" not in r.text and "readers" not in r.text, r.text
 
 
+def test_short_lines_are_counted(docs_of, words):
+    own = {i: [words(11, f"s{i}/{k}") + "." for k in range(4)] for i in range(12)}
+    rows = [(i, "\n".join([*t[:2], f"{i}", "Share this. Print.", *t[2:], "All rights reserved."])) for i, t in own.items()]
+    for r in line_dedup(docs_of(rows)).collect():
+        t = own[r.doc_id]
+        assert r.text.split("\n")[:5] == [*t[:2], f"{r.doc_id}", *t[2:]] and "reserved" not in r.text and r.n_dropped == 3
+
+
 def test_line_dedup_of_awkward_rows(docs_of, awkward):
     docs = docs_of(awkward).withColumn("drops", F.lit(1)).withColumn("n_dropped", F.lit("x"))
     got = line_dedup(docs)
