@@ -136,7 +136,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 8, least_words:
     docs: doc_id, text; benchmark: item_id, text; other columns are ignored. key is
     row_key. An item counts as held if least_run of its template windows, or
     least_share of them, are in the document (items of fewer than k words: the whole
-    document is the item) and its slots are consistent. Null and empty texts match
+    document is the item) and its slots are consistent, over all of these windows or over
+    those of one alignment, which then must be as many. Null and empty texts match
     nothing; an empty benchmark gives no row."""
     items = benchmark.select(F.col("item_id").cast("long").alias("key"), F.col("text").cast("string"))
     bench = materialise(items.mapInArrow(_windows(k, least_words, None), _SCHEMA), "bench")
@@ -149,13 +150,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 8, least_words:
     b = bench.select(F.col("key").alias("item_id"), "hash", F.col("place").alias("item_place"), F.col("slots").alias("item_slots"))
     size = b.groupBy("item_id").agg(F.countDistinct("hash").alias("n_item_windows"))
     hit = seen.join(b, "hash").where(F.size("slots") == F.size("item_slots"))
-    matched = hit.groupBy("key", "item_id").agg(F.countDistinct("hash").alias("n_matched"))
-    pairs = hit.select("key", "item_id", F.explode(F.arrays_zip("item_slots", "slots")).alias("s")).distinct()
-    pairs = pairs.groupBy("key", "item_id").agg(F.count("*").alias("n"), F.countDistinct("s.item_slots").alias("na"), F.countDistinct("s.slots").alias("nb"))
-    out = matched.join(size, "item_id").join(pairs, ["key", "item_id"], "left")
+    # an alignment: windows at the same distance from the item's
+    hit = hit.withColumn("shift", F.col("place") - F.col("item_place"))
+    pairs = hit.select("key", "item_id", "shift", F.explode(F.arrays_zip("item_slots", "slots")).alias("s")).distinct()
+
+    def held(*by: str) -> DataFrame:
+        """Windows matched of the groups whose slots map one to one."""
+        n = pairs.select(*by, "s").distinct().groupBy(*by).agg(F.count("*").alias("n"), F.countDistinct("s.item_slots").alias("na"), F.countDistinct("s.slots").alias("nb"))
+        mixed = n.where((F.col("n") > F.col("na")) | (F.col("n") > F.col("nb"))).select(*by)
+        return hit.groupBy(*by).agg(F.countDistinct("hash").alias("n_matched")).join(mixed, list(by), "left_anti").select("key", "item_id", "n_matched")
+
+    # over all alignments (words were put in or left out), or else within one
+    out = held("key", "item_id").union(held("key", "item_id", "shift")).groupBy("key", "item_id").agg(F.max("n_matched").alias("n_matched")).join(size, "item_id")
     enough = (F.col("n_matched") >= least_run) | (F.col("n_matched") >= least_share * F.col("n_item_windows"))
-    consistent = F.col("n").isNull() | ((F.col("n") == F.col("na")) & (F.col("n") == F.col("nb")))
-    return out.where(enough & consistent).select("key", "item_id", "n_matched", "n_item_windows", (F.col("n_matched") / F.col("n_item_windows")).alias("coverage"))
+    return out.where(enough).select("key", "item_id", "n_matched", "n_item_windows", (F.col("n_matched") / F.col("n_item_windows")).alias("coverage"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:

@@ -100,6 +100,14 @@ def test_slots_must_map_one_to_one(spark, docs_of, words):
     assert {r.doc_id for r in contamination_report(docs_of(rows), bench).where("contaminated").collect()} == {1}
 
 
+def test_slots_are_compared_within_an_alignment(spark, docs_of, words):
+    cups = "Add 3 cups of sugar to the bowl slowly. Add 4 cups of sugar to the bowl slowly."
+    bench = spark.createDataFrame([(1, QUESTION), (2, cups)], "item_id long, text string")
+    rows = [(1, f"{QUESTION} {words(9, 'z')}. {QUESTION.replace('120', '98')}"), (2, f"{words(9, 'y')}. {cups}"), (3, words(40, "x"))]
+    got = {r.doc_id: r.item_id for r in contamination_report(docs_of(rows), bench).where("contaminated").collect()}
+    assert got == {1: 1, 2: 2}
+
+
 def test_decontamination_of_awkward_rows(spark, docs_of, awkward):
     bench = spark.createDataFrame([(1, "same words here again and again")], "item_id long, text string")
     docs = docs_of(awkward)
