@@ -41,9 +41,12 @@ _SPELLED = re.compile(rf"(?i)(?<!\w){_NUM}(?:[\s,-]{{1,2}}(?:{_NUM}|[0-9]))+(?!\
 _ITEM = re.compile(rf"(?i){_NUM}|[0-9]|[\s,-]+")
 _AT = re.compile(r"(?i)\s{0,3}[\[({<]\s{0,3}(?:at|@)\s{0,3}[\])}>]\s{0,3}")
 _DOT = re.compile(r"(?i)\s{0,3}[\[({<]\s{0,3}(?:dot|punkt|punto|point|\.)\s{0,3}[\])}>]\s{0,3}")
-_WORDS = re.compile(r"(?i)(?<=[a-z0-9])\s{1,3}at\s{1,3}(?=[a-z0-9-]{1,63}(?:\s{1,3}dot\s{1,3}[a-z0-9-]{1,63}){1,8}(?!\w))")
+_WORDS = re.compile(r"(?i)(?<=[a-z0-9])\s{1,3}at\s{1,3}(?=[a-z0-9-]{1,63}(?:(?:\s{1,3}dot\s{1,3}[a-z0-9-]{1,63}){1,8}|(?:(?:\s{1,3}dot\s{1,3}|\.)[a-z0-9-]{1,63}){0,7}(?:\s{1,3}dot\s{1,3}|\.)[a-z]{2,63})(?!\w))")
+_HOST = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*")
+_NAMES = re.compile(r"(?i)(?<![\w.%+-])[a-z0-9._%+-]{1,64}(?:\s{1,3}dot\s{1,3}[a-z0-9._%+-]{1,64}){1,8}(?=@)")
+_DOT_WORD = re.compile(r"(?i)\s{1,3}dot\s{1,3}")
 _DOTS = re.compile(r"(?i)(?<=[a-z0-9])\s{1,3}dot\s{1,3}(?=[a-z])")
-_DISGUISE = re.compile(rf"(?i)[\[({{<]\s{{0,3}}(?:at|@|dot|punkt|punto|point|\.)\s{{0,3}}[\])}}>]|\sdot\s|(?<!\w){_NUM}[\s,-]{{1,2}}(?:{_NUM}|[0-9])(?!\w)|[{re.escape(''.join(HOMOGLYPHS))}]")
+_DISGUISE = re.compile(rf"(?i)[\[({{<]\s{{0,3}}(?:at|@|dot|punkt|punto|point|\.)\s{{0,3}}[\])}}>]|\sdot\s|\sat\s{{1,3}}[a-z0-9-]{{1,63}}\.[a-z0-9]|(?<!\w){_NUM}[\s,-]{{1,2}}(?:{_NUM}|[0-9])(?!\w)|[{re.escape(''.join(HOMOGLYPHS))}]")
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
@@ -127,14 +130,16 @@ def normalise(text: str) -> Tape:
     tape.rewrite(spelled)
     tape.rewrite([(m.start(), m.end(), "@") for m in _AT.finditer(tape.text)])
     tape.rewrite([(m.start(), m.end(), ".") for m in _DOT.finditer(tape.text)])
-    ats = [m.span() for m in _WORDS.finditer(tape.text)]
-    dots = []
-    for _, b in ats:  # the dots of the host name that follows
-        at = b
-        while (m := re.compile(r"[A-Za-z0-9-]+").match(tape.text, at)) and (d := _DOTS.match(tape.text, m.end())):
+    tape.rewrite([(m.start(), m.end(), "@") for m in _WORDS.finditer(tape.text)])
+    tape.rewrite([(m.start() + d.start(), m.start() + d.end(), ".") for m in _NAMES.finditer(tape.text) for d in _DOT_WORD.finditer(m[0])])
+    dots, at = [], tape.text.find("@")
+    while at >= 0:  # the dots of the host name that follows, however the @ was written
+        at += 1
+        while (m := _HOST.match(tape.text, at)) and (d := _DOTS.match(tape.text, m.end())):
             dots.append((*d.span(), "."))
             at = d.end()
-    tape.rewrite(sorted([(*x, "@") for x in ats] + dots))
+        at = tape.text.find("@", at)
+    tape.rewrite(dots)
     return tape
 
 

@@ -71,6 +71,11 @@ def test_pii_disguises_map_back(text, kind, span):
     assert not base[kind] and [text[a:b] for a, b in every[kind]] == [span]
 
 
+@pytest.mark.parametrize("text", ["john at example.com", "john [at] example dot com", "john@example dot com", "john at example [dot] com", "john dot smith at example dot com", "john dot smith@example dot com"])
+def test_pii_disguises_mix(text):
+    assert pii.find(f"mail: {text}, today")[1][0] == [(6, 6 + len(text))]
+
+
 def test_pii_rows(docs_of, awkward):
     rows = [*awkward, (20, "a@b.co and a@b.co 4111 1111 1111 1111 +1 (555) 555-1234 1.2.3.4")]
     got = find_pii(docs_of(rows), keep=["doc_id"]).collect()
