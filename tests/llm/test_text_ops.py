@@ -12,7 +12,6 @@ from docweave.llm.pii import detect, find, find_pii, luhn
 from docweave.llm.secrets import cutoffs, find_secrets
 from docweave.llm.simhash import fingerprint_report, within_radius
 from docweave.llm.tokencount import MARK, Trie, token_counts, unigram_vocabulary
-from docweave.llm.toxicity import Decoder, char_model, restore, toxicity_scores
 
 MODEL = P.path("piece_bpe_32k.model")
 
@@ -163,24 +162,3 @@ def test_languages_of_awkward_rows(docs_of, awkward):
     got = {r.doc_id: r.lang_pred for r in identify_language(docs_of(awkward)).collect()}
     assert got[1] == got[2] == got[3] == "und" and got[5] == "en"
     assert identify_language(docs_of([])).count() == 0
-
-
-def test_viterbi_restores_disguises(spark):
-    text = "the idiot and the stupid loser were worthless trash to the moron " * 30
-    decode = Decoder(char_model(spark.createDataFrame([(1, text)], "doc_id long, text string")))
-    for seen, meant in {"1d10t": "idiot", "st.u.p.id": "stupid", "l0ser": "loser", "m0r0n": "moron", "stuuupid": "stupid", "tr@sh": "trash"}.items():
-        assert meant in restore(f"you {seen} you", decode), seen
-    assert "idiot" in restore("an i d i o t here", decode)
-
-
-def test_toxicity(spark, docs_of, awkward, words):
-    rows = [(i, words(12, i) + (" stupid moron" if i % 3 == 0 else "")) for i in range(10, 310)]
-    labels = spark.createDataFrame([(i, 0, int(i % 3 == 0)) for i, _ in rows] + [(None, 0, 1), (10, 0, None)], "doc_id long, quality int, toxic int")
-    test = rows + awkward + [(5001, words(8, 1) + " stup1d m0r0n"), (5002, words(8, 2) + " s t u p i d moron")]
-    got = toxicity_scores(docs_of(test), labels).collect()
-    assert len(got) == len(test) and all(0 <= r.score <= 1 for r in got)
-    by = {r.doc_id: r.score for r in got}
-    assert all((by[i] >= 0.7) == (i % 3 == 0) for i, _ in rows)
-    assert by[5001] >= 0.7 and by[5002] >= 0.7 and by[1] < 0.7
-    assert toxicity_scores(docs_of([]), labels).count() == 0
-    assert toxicity_scores(docs_of(awkward), labels.limit(0)).count() == len(awkward)
