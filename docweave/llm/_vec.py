@@ -7,7 +7,8 @@ finished with a mixer, so equal words have equal hashes wherever they stand.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
 
@@ -81,22 +82,22 @@ def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return mix((total[ends] - total[starts]) * inv[starts])
 
 
-def _parts(text: bytes) -> Iterator[bytes]:
-    """A long text in parts of about BLOCK bytes, cut at white space."""
+def _parts(text: bytes, size: int = BLOCK) -> Iterator[tuple[int, int]]:
+    """Bounds of the parts, of about size bytes each, of a long text; every cut is before white space."""
     at = 0
-    while len(text) - at > BLOCK:
-        cut = at + BLOCK
+    while len(text) - at > size:
+        cut = at + size
         while cut < len(text) and not SPACE[text[cut]]:
             cut += 1
-        yield text[at:cut]
+        yield at, cut
         at = cut
-    yield text[at:]
+    yield at, len(text)
 
 
 def word_hashes(texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words in order, and bounds: text i has words bounds[i]:bounds[i+1]."""
     if len(texts) == 1 and len(texts[0]) > BLOCK:
-        found = [word_hashes([p])[0] for p in _parts(texts[0])]
+        found = [word_hashes([texts[0][a:b]])[0] for a, b in _parts(texts[0])]
         h = np.concatenate(found)
         return h, np.array([0, len(h)])
     buf = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
@@ -105,6 +106,59 @@ def word_hashes(texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return hash_spans(buf, starts, ends), np.searchsorted(starts, begins)
 
 
+def table(members: Iterable[int]) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[list(members)] = True
+    return out
+
+
+_ALNUM = table([*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)])
+_DIGIT = table(range(48, 58))
+_NUMERIC = table([*range(48, 58), *b".,:/%-"])
+_UPPER = table(range(65, 91))
+_LOW = np.arange(256, dtype=np.uint8)
+_LOW[65:91] += 32
+
+
+class Words(NamedTuple):
+    """Per word of a text: where it starts and ends, its hash, whether it has a digit, is a
+    number, starts with its only capital letter, or is more than punctuation, its last byte, and
+    the line that it is on."""
+
+    starts: np.ndarray
+    ends: np.ndarray
+    hash: np.ndarray
+    digit: np.ndarray
+    number: np.ndarray
+    capital: np.ndarray
+    some: np.ndarray
+    last: np.ndarray
+    line: np.ndarray
+
+
+def scan(raw: bytes, bare: bool = False) -> Words:
+    """Words of a text, which may be very long: what takes memory by the byte is done in parts.
+    bare: hash words in lower case without outer punctuation, where anything else is left."""
+    got, lines = [], 0
+    for at, to in _parts(raw):
+        buf = np.frombuffer(raw[at:to] + b"\n", np.uint8)
+        starts, ends = spans(buf)
+        a, b = starts, ends
+        some = np.zeros(len(starts), bool)
+        if bare and len(own := np.flatnonzero(_ALNUM[buf])):
+            x = own[np.minimum(np.searchsorted(own, starts), len(own) - 1)]
+            y = own[np.maximum(np.searchsorted(own, ends) - 1, 0)] + 1
+            some = (x < ends) & (y > starts) & (x < y)
+            a, b = np.where(some, x, starts), np.where(some, y, ends)
+        count = lambda t: np.concatenate((np.zeros(1, np.int32), np.cumsum(t[buf], dtype=np.int32)))
+        digits, numeric, upper, newline = count(_DIGIT), count(_NUMERIC), count(_UPPER), count(table([10]))
+        digit = digits[b] > digits[a]
+        one = _UPPER[buf[a]] & (upper[b] - upper[a] == 1)
+        got.append((starts + at, ends + at, hash_spans(_LOW[buf] if bare else buf, a, b), digit, digit & (numeric[b] - numeric[a] == b - a), one, some, buf[ends - 1], newline[starts].astype(np.int64) + lines))
+        lines += int(newline[len(buf) - 1])
+    return Words(*(np.concatenate(x) for x in zip(*got)))
+
+
 _C = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
 

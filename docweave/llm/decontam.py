@@ -3,14 +3,18 @@
 Words lose outer punctuation and case. Numbers, names (capitalised words inside a
 sentence) and units (a unit word after a number) become typed placeholders, so a
 question whose numbers or names were changed has the same template. Template windows
-of k words are hashed and joined by hash; the values behind the placeholders (slots) must
-then map one to one between a document and an item, as a re-parameterised copy has
-them, or the match is thrown out.
+of k words are hashed and joined by hash; a window of too few plain words is hashed with its
+values as they are, so none is left out. Items shorter than k words have one window of their
+own length, searched for in every document. The values behind the placeholders (slots) must
+then map one to one between a document and an item, as a re-parameterised copy has them:
+over all matches, over those of one occurrence (starts that lie close together), or over
+those of one alignment. A verbatim copy always has such an alignment, whatever else the
+document holds.
 
 Scale: documents are read once. A bitmap of fixed size over the benchmark's window
 hashes (BITS bits, whatever the benchmark's size) lets through few windows of other
-text; only those are joined with the benchmark's windows, by hash. Verdicts are keyed
-by a hash of id and text, so null and repeated ids are safe.
+text; only those are joined with the benchmark's windows, by hash, in SALTS shares of each
+hash. Verdicts are keyed by a hash of id and text, so null and repeated ids are safe.
 """
 
 from __future__ import annotations
@@ -19,28 +23,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import materialise
-from ._vec import batches, hash_spans, slices, spans, windows
+from ._vec import _C, batches, hash_spans, mix, scan, slices, spans, table
 
-BITS = 20
+BITS = 22
+SALTS = 16
 #: Fixed value: words that count as a unit after a number.
 UNITS = "mm cm m km in ft yd mi mg g kg t lb oz ml l s sec ms min h hr hrs day days week weeks month months year years hour hours minute minutes second seconds meter meters metre metres mile miles kilometer kilometers kilogram kilograms gram grams pound pounds liter liters litre litres percent dollar dollars euro euros cent cents degree degrees eur usd".split()
 _NUM, _NAME, _UNIT = (np.uint64(x) for x in (0x6E756D, 0x6E616D65, 0x756E6974))
-_ALNUM = np.zeros(256, bool)
-_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
-_DIGIT = np.zeros(256, bool)
-_DIGIT[48:58] = True
-_NUMERIC = _DIGIT.copy()
-_NUMERIC[[ord(c) for c in ".,:/%-"]] = True
-_UPPER = np.zeros(256, bool)
-_UPPER[65:91] = True
-_STOP = np.zeros(256, bool)
-_STOP[[ord(c) for c in ".!?:;"]] = True
-_LOW = np.arange(256, dtype=np.uint8)
-_LOW[65:91] += 32
+_STOP = table(b".!?:;")
 
 
 def _unit_hashes() -> np.ndarray:
@@ -51,123 +45,139 @@ def _unit_hashes() -> np.ndarray:
 _UNITS = _unit_hashes()
 
 
-def templates(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Template hash and value hash of every word, whether it is a placeholder, and
-    bounds of each text's words."""
-    raw = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-    starts, ends = spans(raw)
-    begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
-    bounds = np.searchsorted(starts, begins)
-    alnum = _ALNUM[raw]
-    at = np.flatnonzero(alnum)
-    if len(at):  # outer punctuation off, where anything else is left
-        a = at[np.minimum(np.searchsorted(at, starts), len(at) - 1)]
-        b = at[np.maximum(np.searchsorted(at, ends) - 1, 0)] + 1
-        bare = (a < ends) & (b > starts) & (a < b)
-        core_a, core_b = np.where(bare, a, starts), np.where(bare, b, ends)
-    else:
-        core_a, core_b = starts, ends
-    value = hash_spans(_LOW[raw], core_a, core_b)
-    count = lambda table: np.concatenate(([0], np.cumsum(table[raw])))
-    digits, numeric = count(_DIGIT), count(_NUMERIC)
-    number = (digits[core_b] > digits[core_a]) & (numeric[core_b] - numeric[core_a] == core_b - core_a)
-    first = np.zeros(len(starts), bool)
-    first[bounds[:-1][np.diff(bounds) > 0]] = True
-    before = np.concatenate(([True], _STOP[raw[ends[:-1] - 1]])) if len(starts) else first
-    lines = count(np.arange(256) == 10)
-    newline = np.concatenate(([True], lines[starts[1:]] > lines[ends[:-1]])) if len(starts) else first
-    upper = count(_UPPER)
-    name = _UPPER[raw[core_a]] & (upper[core_b] - upper[core_a] == 1) & ~(first | before | newline) if len(starts) else first
-    unit = np.concatenate(([False], number[:-1])) & (_UNITS[np.minimum(np.searchsorted(_UNITS, value), len(_UNITS) - 1)] == value) if len(starts) else first
-    shape = np.where(number, _NUM, np.where(unit, _UNIT, np.where(name, _NAME, value)))
-    return shape, value, number | name | unit, bounds
-
-
-def _rows(shape, value, slot, bounds, k: int, least_words: int, wanted: np.ndarray | None):
-    """(text, place, hash, slots) of the windows of each text; a text of fewer than k
-    words has one window of all its words. wanted: bitmap of hashes to let through."""
-    n = len(shape)
-    w = windows(shape, k)
-    owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    plain = np.concatenate(([0], np.cumsum(~slot)))
-    if len(w):
-        ok = (bounds[owner[: n - k + 1] + 1] >= np.arange(n - k + 1) + k) & (plain[k:] - plain[:-k] >= least_words)
+def templates(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Template hash and value hash of every word, whether it is a number or unit, whether it
+    is a name, whether it is a plain word (not punctuation alone), and bounds of each text's words."""
+    w = scan(b"\n".join(texts), bare=True)
+    bounds = np.searchsorted(w.starts, np.cumsum([0, *(len(t) + 1 for t in texts)]))
+    n = len(w.starts)
+    fresh = np.ones(n, bool)  # begins a text, a sentence or a line
+    if n:
+        fresh[1:] = _STOP[w.last[:-1]] | (w.line[1:] > w.line[:-1])
+        fresh[bounds[:-1][np.diff(bounds) > 0]] = True
+    unit = np.zeros(n, bool)
+    unit[1:] = w.number[:-1] & (_UNITS[np.minimum(np.searchsorted(_UNITS, w.hash[1:]), len(_UNITS) - 1)] == w.hash[1:])
+    name = w.capital & ~fresh & ~w.number & ~unit
+    shape = np.where(w.number, _NUM, np.where(unit, _UNIT, np.where(name, _NAME, w.hash)))
+    return shape, w.hash, w.number | unit, name, w.some & ~(w.number | unit | name), bounds
+
+
+def _keys(shape, value, name, plain, size: int, least_words: int):
+    """Of each window of size words: its hash, and whether it is a template's. A name in the
+    first place counts as a plain word, for it may only begin a sentence."""
+    n = len(shape) - size + 1
+    t, v = np.where(name, value, shape)[:n] * _C[0], value[:n] * _C[0]
+    for j in range(1, size):
+        t += shape[j : n + j] * _C[j]
+        v += value[j : n + j] * _C[j]
+    count = np.concatenate(([0], np.cumsum(plain)))
+    is_template = count[size:] - count[:-size] + name[:n] >= least_words
+    return mix(np.where(is_template, mix(t), mix(v) + _C[40])) + _C[41] * np.uint64(size), is_template
+
+
+def _rows(shape, value, slot, name, plain, bounds, sizes: list[int], least_words: int, item_of: int | None, wanted: np.ndarray | None):
+    """(text, place, size, hash, slots) of the windows of each text. sizes: window lengths to
+    look for in documents; item_of: for items, windows of so many words, or one of all words of a
+    shorter one. A text of under least_words words has one window of all its words, which only
+    such a text can match. wanted: bitmap of hashes to let through."""
+    length = np.diff(bounds)
+    mask = np.uint64((1 << BITS) - 1)
+    owner = np.repeat(np.arange(len(length)), length)
+    for size in range(least_words, item_of + 1) if item_of else sizes:
+        if len(shape) < size:
+            continue
+        h, is_template = _keys(shape, value, name, plain, size, least_words)
+        at = owner[: len(h)]
+        ok = bounds[at + 1] >= np.arange(len(h)) + size
+        if item_of and size < item_of:
+            ok &= length[at] == size
         if wanted is not None:
-            ok &= wanted[(w & np.uint64((1 << BITS) - 1)).astype(np.int64)]
+            ok &= wanted[(h & mask).astype(np.int64)]
         for p in np.flatnonzero(ok).tolist():
-            yield owner[p], p - bounds[owner[p]], w[p], (value[p : p + k][slot[p : p + k]])
-    for i in np.flatnonzero((np.diff(bounds) < k) & (np.diff(bounds) > 0)).tolist():
+            q = p + 1 if name[p] else p
+            e = p + size
+            yield at[p], p - bounds[at[p]], size, h[p], value[q:e][(slot | name)[q:e]] if is_template[p] else value[:0]
+    for i in np.flatnonzero((length > 0) & (length < least_words)).tolist():
         a, b = bounds[i], bounds[i + 1]
-        h = windows(shape[a:b], int(b - a))[0] ^ np.uint64(b - a)
-        if plain[b] - plain[a] and (wanted is None or wanted[int(h & np.uint64((1 << BITS) - 1))]):
-            yield i, 0, h, value[a:b][slot[a:b]]
+        h = mix((value[a:b] * _C[: b - a]).sum(keepdims=True, dtype=np.uint64) + _C[42])[0]
+        if wanted is None or wanted[int(h & mask)]:
+            yield i, 0, int(b - a), h, value[:0]
 
 
-def _windows(k: int, least_words: int, bitmap: bytes | None):
-    wanted = None if bitmap is None else np.unpackbits(np.frombuffer(bitmap, np.uint8)).astype(bool)
+_SCHEMA = "key long, place long, size int, hash long, slots array<long>"
 
+
+def _windows(sizes: list[int], least_words: int, item_of: int | None, bitmap: bytes | None):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = None if bitmap is None else np.unpackbits(np.frombuffer(bitmap, np.uint8)).astype(bool)
         for batch in slices(it):
             keys, texts = batch.column(0).to_pylist(), [(x or "").encode() for x in batch.column(1).to_pylist()]
             for a, b in batches(texts):
-                t = templates(texts[a:b])
-                rows = list(_rows(*t, k, least_words, wanted))
-                size = np.diff(t[3])
+                rows = list(_rows(*templates(texts[a:b]), sizes, least_words, item_of, wanted))
                 if rows:
-                    who, place, h, slots = zip(*rows)
+                    who, place, size, h, slots = zip(*rows)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([keys[a + i] for i in who], pa.int64()), pa.array(size[list(who)], pa.int64()), pa.array(place, pa.int64()), pa.array(np.array(h, np.uint64).view(np.int64)), pa.array([s.view(np.int64) for s in slots], pa.list_(pa.int64()))],
-                        names=["key", "n_words", "place", "hash", "slots"],
+                        [pa.array([keys[a + i] for i in who], pa.int64()), pa.array(place, pa.int64()), pa.array(size, pa.int32()), pa.array(np.array(h, np.uint64).view(np.int64)), pa.array([s.view(np.int64) for s in slots], pa.list_(pa.int64()))],
+                        names=["key", "place", "size", "hash", "slots"],
                     )
 
     return run
 
 
-_SCHEMA = "key long, n_words long, place long, hash long, slots array<long>"
-
-
 def row_key(id_col: str, text_col: str):
     return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
 
 
+def bitmap_of(df: DataFrame, col: str, bits: int) -> bytes:
+    """Packed bitmap of the low bits of a column's numbers. At most 2**bits / 1024 rows, each a
+    word of 1,024 bits, come to the driver."""
+    low = F.col(col).bitwiseAND(F.lit((1 << bits) - 1))
+    words = df.select(low.alias("b")).distinct().groupBy(F.shiftright("b", 10).alias("w")).agg(F.collect_set((F.col("b") % 1024).cast("short")).alias("bits"))
+    out = np.zeros(1 << bits, bool)
+    for w, b in words.toLocalIterator():
+        out[np.array(b, np.int64) + (w << 10)] = True
+    return np.packbits(out).tobytes()
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 8, least_words: int = 4, least_share: float = 0.5, least_run: int = 6) -> DataFrame:
     """Matches (key, item_id, n_matched, n_item_windows, coverage) of documents that hold an item.
 
     docs: doc_id, text; benchmark: item_id, text; other columns are ignored. key is
-    row_key. An item counts as held if least_run of its template windows, or
-    least_share of them, are in the document (items of fewer than k words: the whole
-    document is the item) and its slots are consistent, over all of these windows or over
-    those of one alignment, which then must be as many. Null and empty texts match
-    nothing; an empty benchmark gives no row."""
+    row_key. An item counts as held if least_run of its windows, or least_share of them, are in
+    one group of matches whose slots map one to one: all matches of the document, one
+    occurrence, or one alignment. An item of under least_words words counts only where it is the
+    whole document. Null and empty texts match nothing; an empty benchmark gives no row; repeated
+    rows and items count once each. Very long texts are read whole, in parts."""
     items = benchmark.select(F.col("item_id").cast("long").alias("key"), F.col("text").cast("string"))
-    bench = materialise(items.mapInArrow(_windows(k, least_words, None), _SCHEMA), "bench")
-    mask = (1 << BITS) - 1
-    bits = np.zeros(1 << BITS, bool)  # at most 2**BITS numbers come to the driver
-    found = [r[0] for r in bench.select(F.col("hash").bitwiseAND(F.lit(mask)).alias("bit")).distinct().collect()]
-    bits[found] = True
+    bench = materialise(items.mapInArrow(_windows([], least_words, k, None), _SCHEMA), "bench")
+    sizes = sorted(r[0] for r in bench.select("size").distinct().where(F.col("size") >= least_words).collect())  # at most k
+    bits = bitmap_of(bench, "hash", BITS)
     own = docs.select(row_key("doc_id", "text").alias("key"), F.col("text").cast("string"))
-    seen = materialise(own.mapInArrow(_windows(k, least_words, np.packbits(bits).tobytes()), _SCHEMA).dropDuplicates(["key", "place"]), "windows")
-    b = bench.select(F.col("key").alias("item_id"), "hash", F.col("place").alias("item_place"), F.col("slots").alias("item_slots"))
-    size = b.groupBy("item_id").agg(F.countDistinct("hash").alias("n_item_windows"))
-    hit = seen.join(b, "hash").where(F.size("slots") == F.size("item_slots"))
-    # an alignment: windows at the same distance from the item's
-    hit = hit.withColumn("shift", F.col("place") - F.col("item_place"))
-    pairs = hit.select("key", "item_id", "shift", F.explode(F.arrays_zip("item_slots", "slots")).alias("s")).distinct()
-
-    def held(*by: str) -> DataFrame:
-        """Windows matched of the groups whose slots map one to one."""
-        n = pairs.select(*by, "s").distinct().groupBy(*by).agg(F.count("*").alias("n"), F.countDistinct("s.item_slots").alias("na"), F.countDistinct("s.slots").alias("nb"))
-        mixed = n.where((F.col("n") > F.col("na")) | (F.col("n") > F.col("nb"))).select(*by)
-        return hit.groupBy(*by).agg(F.countDistinct("hash").alias("n_matched")).join(mixed, list(by), "left_anti").select("key", "item_id", "n_matched")
-
-    # over all alignments (words were put in or left out), or else within one
-    out = held("key", "item_id").union(held("key", "item_id", "shift")).groupBy("key", "item_id").agg(F.max("n_matched").alias("n_matched")).join(size, "item_id")
+    seen = materialise(own.mapInArrow(_windows(sizes, least_words, None, bits), _SCHEMA).dropDuplicates(["key", "place", "size"]), "windows")
+    # equal windows of an item are one, at the first of their places
+    b = bench.groupBy(F.col("key").alias("item_id"), "hash", F.col("slots").alias("item_slots")).agg(F.min("place").alias("item_place"))
+    count = bench.groupBy(F.col("key").alias("item_id")).agg(F.countDistinct("hash").alias("n_item_windows"))
+    salted = b.join(count, "item_id").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    hit = seen.withColumn("salt", F.pmod(F.xxhash64("key", "place"), F.lit(SALTS)).cast("int")).join(salted, ["hash", "salt"]).where(F.size("slots") == F.size("item_slots"))
+    hit = hit.withColumn("start", F.col("place") - F.col("item_place"))
+    # an occurrence: starts without a step of more than a tenth of the item, and two words
+    w = Window.partitionBy("key", "item_id").orderBy("start")
+    step = F.col("start") - F.lag("start").over(w) > 2 + (F.col("n_item_windows") + k - 1) / 10
+    hit = hit.withColumn("step", F.coalesce(step, F.lit(False)).cast("long")).withColumn("occurrence", F.sum("step").over(w.rangeBetween(Window.unboundedPreceding, 0)))
+    groups = F.array(*(F.struct(F.lit(n).alias("kind"), F.col(c).cast("long").alias("of")) for n, c in ((1, "start"), (2, "occurrence"))), F.struct(F.lit(0).alias("kind"), F.lit(0).cast("long").alias("of")))
+    by = ["key", "item_id", "n_item_windows", "kind", "of"]
+    each = hit.select("key", "item_id", "n_item_windows", F.explode(groups).alias("g"), "hash", "item_slots", "slots").select("key", "item_id", "n_item_windows", "g.kind", "g.of", "hash", "item_slots", "slots")
     enough = (F.col("n_matched") >= least_run) | (F.col("n_matched") >= least_share * F.col("n_item_windows"))
-    return out.where(enough).select("key", "item_id", "n_matched", "n_item_windows", (F.col("n_matched") / F.col("n_item_windows")).alias("coverage"))
+    full = each.groupBy(*by).agg(F.countDistinct("hash").alias("n_matched")).where(enough)
+    pairs = each.select(*by, F.explode(F.arrays_zip("item_slots", "slots")).alias("s")).distinct()
+    n = pairs.groupBy(*by).agg(F.count("*").alias("n"), F.countDistinct("s.item_slots").alias("na"), F.countDistinct("s.slots").alias("nb"))
+    mixed = n.where((F.col("n") > F.col("na")) | (F.col("n") > F.col("nb"))).select(*by)
+    out = full.join(mixed, by, "left_anti").groupBy("key", "item_id", "n_item_windows").agg(F.max("n_matched").alias("n_matched"))
+    return out.select("key", "item_id", "n_matched", "n_item_windows", (F.col("n_matched") / F.col("n_item_windows")).alias("coverage"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
-    """docs without the rows that hold a benchmark item; columns as they are."""
+    """docs without the rows that hold a benchmark item; columns as they are, whatever their names."""
     bad = contaminated(docs, benchmark, **kw).select(F.col("key").alias("docweave_key")).distinct()
     marked = docs.withColumn("docweave_key", row_key("doc_id", "text"))
     return marked.join(bad, "docweave_key", "left_anti").select(*docs.columns)

@@ -35,8 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import materialise
-from ._vec import _C, batches, hash_spans, mix, slices, spans
-from .decontam import _DIGIT, row_key
+from ._vec import _C, _DIGIT, batches, hash_spans, mix, slices, spans
+from .decontam import row_key
 
 BITS = 23
 _WILD = np.uint64(0x2A)

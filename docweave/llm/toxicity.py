@@ -234,6 +234,7 @@ class Scorer:
 
     def __init__(self, model: np.ndarray, feats: list[str], weights: np.ndarray, bias: float):
         self.decode, self.index, self.weights, self.bias = Decoder(model), {f: i for i, f in enumerate(feats)}, weights.tolist(), bias
+        self.heads = {f[1:5] for f in feats}  # of every feature, and so of every word that has one
         self.parts = ahocorasick.Automaton()
         for f in feats:
             self.parts.add_word(skeleton(f[1:]), True)
@@ -242,7 +243,7 @@ class Scorer:
         self.known: dict[str, tuple[int, ...]] = {}
 
     def _of_words(self, words) -> set[int]:
-        return {self.index[f] for w in words for f in features(w) if f in self.index}
+        return {self.index[f] for w in words if w[:4] in self.heads for f in features(w) if f in self.index}
 
     def _of_lattice(self, signs: str) -> set[int]:
         spells = self.index and next(self.parts.iter(skeleton(signs)), None)
@@ -258,9 +259,13 @@ class Scorer:
 
     def found(self, text: str) -> set[int]:
         out: set[int] = set()
+        known = self.known.get
         for t in set(text.split()):
-            f = self.known.get(t)
-            out.update(self._of_token(t) if f is None else f)
+            f = known(t)
+            if f is None:
+                f = self._of_token(t)
+            if f:
+                out.update(f)
         for signs in stretches(text):
             out |= self._of_lattice(signs)
         return out

@@ -2,7 +2,6 @@ from collections import Counter
 
 import pyspark.sql.functions as F
 
-from docweave.llm.decontam import contaminated, contamination_report, decontaminate
 from docweave.llm.linededup import line_dedup
 
 
@@ -70,48 +69,3 @@ def test_line_dedup_of_awkward_rows(docs_of, awkward):
     assert got.columns == [*(c for c in docs.columns if c != "n_dropped"), "n_dropped", "is_copy"]
     assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter(awkward)
     assert line_dedup(docs_of([])).count() == 0
-
-
-QUESTION = "A train leaves the old station with 120 passengers and travels 45 km before Anna counts 17 empty seats near the window"
-
-
-def test_templates(spark, docs_of, words):
-    bench = spark.createDataFrame([(1, QUESTION), (2, words(30, "b")), (3, "only four words here"), (4, None), (5, "")], "item_id long, text string")
-    filler = lambda k: words(20, f"f{k}") + ". "
-    rows = [
-        (1, filler(1) + QUESTION + " " + filler(2)),
-        (2, filler(3) + QUESTION.replace("120", "98").replace("45", "7,5").replace("17", "31").replace("Anna", "Boris") + " end"),
-        (3, filler(4) + " " + filler(5)),
-        (4, filler(6) + words(30, "b") + filler(7)),
-        (5, "Only four WORDS, here!"),
-        (6, filler(8) + " ".join(QUESTION.split()[:7])),
-    ]
-    got = {r.doc_id: r for r in contamination_report(docs_of(rows), bench).collect()}
-    assert {i for i, r in got.items() if r.contaminated} == {1, 2, 4, 5}
-    assert got[2].item_id == 1 and got[4].item_id == 2
-    assert {r.doc_id for r in decontaminate(docs_of(rows), bench).collect()} == {3, 6}
-
-
-def test_slots_must_map_one_to_one(spark, docs_of, words):
-    # the item repeats one value in three places; a text with three different values is another one
-    item = "put 5 red balls in the large box then put 5 blue balls in the small box then put 5 green balls in the last box"
-    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
-    rows = [(1, item.replace("5", "8")), (2, item.replace("5", "8", 1).replace("5", "9", 1))]
-    assert {r.doc_id for r in contamination_report(docs_of(rows), bench).where("contaminated").collect()} == {1}
-
-
-def test_slots_are_compared_within_an_alignment(spark, docs_of, words):
-    cups = "Add 3 cups of sugar to the bowl slowly. Add 4 cups of sugar to the bowl slowly."
-    bench = spark.createDataFrame([(1, QUESTION), (2, cups)], "item_id long, text string")
-    rows = [(1, f"{QUESTION} {words(9, 'z')}. {QUESTION.replace('120', '98')}"), (2, f"{words(9, 'y')}. {cups}"), (3, words(40, "x"))]
-    got = {r.doc_id: r.item_id for r in contamination_report(docs_of(rows), bench).where("contaminated").collect()}
-    assert got == {1: 1, 2: 2}
-
-
-def test_decontamination_of_awkward_rows(spark, docs_of, awkward):
-    bench = spark.createDataFrame([(1, "same words here again and again")], "item_id long, text string")
-    docs = docs_of(awkward)
-    assert decontaminate(docs, bench).count() == len(awkward) - 3
-    assert decontaminate(docs, bench.limit(0)).count() == len(awkward)
-    assert contaminated(docs_of([]), bench).count() == 0
-    assert decontaminate(docs, bench).columns == docs.columns
