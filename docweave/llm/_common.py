@@ -8,6 +8,7 @@ import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def reachable(spark: SparkSession) -> None:
@@ -25,23 +26,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. Only where
-    the session has none (tests, local mode) is a folder made and set."""
+    the session has none and runs in one JVM (tests, local mode) is a folder made and set."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     found = found or spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="docweave-checkpoint-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+def skew_join(big: DataFrame, small: DataFrame, on: str, weight: str, shares: int = 4096) -> DataFrame:
+    """Inner join where one key may hold any part of big's rows. small is a table that has been
+    written, with one row a key and weight, the rows of big with that key (or more). Keys of more
+    than 1/shares of all rows are at most shares, so they are broadcast; the rest is shuffled."""
+    total = small.agg(F.sum(weight)).first()[0] or 0
+    heavy, light = small.where(F.col(weight) * shares > total), small.where(F.col(weight) * shares <= total)
+    out = big.join(F.broadcast(heavy), on)
+    return out.unionByName(big.join(F.broadcast(heavy.select(on)), on, "left_anti").join(light, on).select(out.columns))
+
+
 _written: list[tuple[SparkSession, str]] = []
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write df as Parquet below the shared folder and read it back.
 
-    Survives lost executors, unlike a local checkpoint. The files go when the
-    driver's Python ends."""
+    Survives lost executors, unlike a local checkpoint. The files go with forget(), or when
+    the driver's Python ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/docweave-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
@@ -49,12 +63,33 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def mark() -> int:
+    """A point up to which tables have been written, for forget()."""
+    return len(_written)
+
+
+def forget(since: int, keep: DataFrame) -> None:
+    """Delete the tables written since a mark, but for those that keep is read from."""
+    used = " ".join(keep.inputFiles())
+    stay = []
+    for spark, path in _written[since:]:
+        folder = path.rsplit("/", 1)[0]
+        if folder.rsplit("/", 1)[1] in used:
+            stay.append((spark, path))
+        else:
+            _delete(spark, folder)
+    _written[since:] = stay
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _written:
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path).getParent()
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path.rsplit("/", 1)[0])
         except Exception:  # the session may be gone by now
             return

@@ -6,23 +6,24 @@ tokens (a token with a digit is a wildcard). In a leaf, a token that enough docu
 have at its place is constant and any other token is a variable field; lines with the
 same constants are one template. Enough is min_docs, four times as many, and so on up to
 the leaf's documents, each a template of its own: values of a field are variable at some
-level however large the table. Templates that recur in min_docs documents or more, or fit
-a line that does, are dropped from all of them.
-
-A recurring part is told from a copy of a whole document by what stands around it. A run
-of recurring lines is dropped if what comes before its first line, or after its last, is
-the document's own: neither of the next two neighbours has open_share of the line's
-occurrences (the edge of a document is no neighbour). This is judged for each occurrence,
-so copies of one document that hold a passage do not keep it in all others. A recurring line may take short segments with it:
-each is counted together with the long segment beside it, and the run ends after it; a
-whole line of or with short segments counts as it is, however short. In
-copies, exact or edited, the neighbours are mostly the same: those lines stay, for
-near-duplicate removal to judge the documents.
+level however large the table. A template recurs if min_docs documents have lines of it, a
+frequent line is of it, or it is a frequent line but for one token. Short segments (under
+least_tokens) count as whole lines, as they are, and together with the long segment beside them.
+
+Recurring templates go, unless their documents are copies of each other. A document is a
+copy if recurring templates cover it: all of its words; SAME of them in three segments or more
+(a similarity of 0.75); or most of them, in five segments or more and with short gaps only,
+as edits leave them. A copy's class is the least hash of its templates, which copies have in
+common whatever their edits; a document that is no copy is a class of its own. A template goes
+where its documents are of min_docs classes, and two more for each time that its documents are
+twice its classes: so many the edits of one group do not make. From copies it goes only if its classes
+are half its documents; their own lines stay, for near-duplicate removal to judge them.
 
 Scale: the first pass emits one hash a line and counts documents a leaf; a bitmap of
 fixed size tells the second pass which lines to emit with their tokens, and templates are
-mined on distinct lines with their counts. Every grouping is a partial sum first; no leaf,
-however frequent, is gathered into one task.
+mined on distinct lines with their counts. Every grouping is a partial sum first, and joins
+on a line or template broadcast the few keys that hold more than 1/4096 of the rows: no leaf,
+line or template, however frequent, is gathered into one task.
 """
 
 from __future__ import annotations
@@ -34,34 +35,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialise
-from ._vec import _C, _DIGIT, batches, hash_spans, mix, slices, spans
-from .decontam import row_key
+from ._common import materialise, skew_join
+from ._vec import _C, batches, mix, scan, slices, table
+from .decontam import bitmap_of, row_key
 
-BITS = 23
+BITS = 25
+SAME, MOST = 6 / 7, 0.6  #: of a copy's words; 6/7 of its words in common make a similarity of 0.75
 _WILD = np.uint64(0x2A)
-_END = np.zeros(256, bool)
-_END[[ord(c) for c in ".!?"]] = True
+_END = table(b".!?")
 
 
 def segments(texts: list[bytes]):
     """Word spans, token hashes (digits: wildcard), first word of each segment with the
-    end, the text that each belongs to, where texts begin, word hashes, and line of each segment."""
-    raw = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-    starts, ends = spans(raw)
-    begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
-    n = len(starts)
+    end, the text that each belongs to, first word of each text with the end, word hashes, and
+    line of each segment."""
+    w = scan(b"\n".join(texts))
+    n = len(w.starts)
+    begins = np.searchsorted(w.starts, np.cumsum([0, *(len(t) + 1 for t in texts)]))
     if not n:
         none = np.zeros(0, np.int64)
-        return starts, ends, np.zeros(0, np.uint64), np.zeros(1, np.int64), none, begins, np.zeros(0, np.uint64), none
-    digits = np.concatenate(([0], np.cumsum(_DIGIT[raw])))
-    word = hash_spans(raw, starts, ends)
-    token = np.where(digits[ends] > digits[starts], _WILD, word)
-    lines = np.concatenate(([0], np.cumsum(raw == 10)))
-    new = np.concatenate(([True], (lines[starts[1:]] > lines[ends[:-1]]) | _END[raw[ends[:-1] - 1]]))
+        return w.starts, np.zeros(0, np.uint64), np.zeros(1, np.int64), none, begins, np.zeros(0, np.uint64), none
+    token = np.where(w.digit, _WILD, w.hash)
+    new = np.concatenate(([True], (w.line[1:] > w.line[:-1]) | _END[w.last[:-1]]))
     first = np.flatnonzero(new)
-    owner = np.searchsorted(begins, starts[first], "right") - 1
-    return starts, ends, token, np.append(first, n), owner, begins, word, lines[starts[first]]
+    owner = np.searchsorted(begins, first, "right") - 1
+    return w.starts, token, np.append(first, n), owner, begins, w.hash, w.line[first]
 
 
 def _exact(token: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -111,13 +109,12 @@ def _physical(word: np.ndarray, first: np.ndarray, row: np.ndarray, least: int):
 
 
 def _lines(depth: int, least: int, bitmap: bytes | None):
-    hot = None if bitmap is None else np.unpackbits(np.frombuffer(bitmap, np.uint8)).astype(bool)
-
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = None if bitmap is None else np.unpackbits(np.frombuffer(bitmap, np.uint8)).view(bool)
         for batch in slices(it):
             keys, texts = np.array(batch.column(0).to_pylist(), np.int64), [(x or "").encode() for x in batch.column(1).to_pylist()]
             for a, b in batches(texts):
-                _, _, token, first, owner, _, word, row = segments(texts[a:b])
+                _, token, first, owner, begins, word, row = segments(texts[a:b])
                 if not len(owner):
                     continue
                 exact = _exact(token, first)
@@ -128,21 +125,22 @@ def _lines(depth: int, least: int, bitmap: bytes | None):
                 n = np.concatenate((n, np.zeros(len(more[0]), np.int64)))  # only single segments have fields
                 who = owner[head]
                 if hot is None:  # one row for a document and leaf
-                    pair = np.unique(np.stack((who.astype(np.uint64), leaf)), axis=1) if len(head) else np.zeros((2, 0), np.uint64)
-                    yield pa.RecordBatch.from_arrays([pa.array(pair[1].view(np.int64))], names=["leaf"])
+                    order = np.lexsort((leaf, who))
+                    x, y = who[order], leaf[order]
+                    new = np.ones(len(x), bool)
+                    new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+                    yield pa.RecordBatch.from_arrays([pa.array(y[new].view(np.int64))], names=["leaf"])
                     continue
                 keep = hot[(leaf & np.uint64((1 << BITS) - 1)).astype(np.int64)]
                 head, tail, line, n, leaf, who = (x[keep] for x in (head, tail, line, n, leaf, who))
-                last = len(owner) - 1
-                near = lambda i: np.where((i >= 0) & (i <= last) & (owner[np.clip(i, 0, last)] == who), exact[np.clip(i, 0, last)], np.uint64(0)).view(np.int64)
-                before, after = (pa.FixedSizeListArray.from_arrays(pa.array(np.stack(x, axis=1).ravel()), 2).cast(pa.list_(pa.int64())) for x in ((near(head - 1), near(head - 2)), (near(tail), near(tail + 1))))  # the next two of the same text, or 0
                 number = head - np.searchsorted(owner, who)  # of the first segment in its text
                 starts = first[head]
                 bounds = np.concatenate(([0], np.cumsum(n)))
                 take = np.arange(bounds[-1]) + np.repeat(starts - bounds[:-1], n)
+                ints = (number, tail - head, starts - begins[who], first[tail] - begins[who], np.diff(begins)[who])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[a + who]), pa.array(number.astype(np.int32)), pa.array((tail - head).astype(np.int32)), pa.array(leaf.view(np.int64)), pa.array(line.view(np.int64)), before, after, pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(token[take].view(np.int64)))],
-                    names=["key", "number", "span", "leaf", "line", "before", "after", "tokens"],
+                    [pa.array(keys[a + who]), *(pa.array(x.astype(np.int32)) for x in ints), pa.array(leaf.view(np.int64)), pa.array(line.view(np.int64)), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(token[take].view(np.int64)))],
+                    names=["key", "number", "span", "a", "b", "words", "leaf", "line", "tokens"],
                 )
 
     return run
@@ -152,140 +150,114 @@ def _rebuild(least: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(it):
             texts, drops = batch.column("text").to_pylist(), batch.column("docweave_drops").to_pylist()
-            out, gone, copies = [], [], []
-            for text, drop in zip(texts, drops):
-                text, n, copy = (text, 0, False) if not drop else _without((text or "").encode(), drop, least)
-                out.append(text)
-                gone.append(n)
-                copies.append(copy)
-            i = batch.schema.get_field_index("text")
-            cols = [c for k, c in enumerate(batch.columns) if k != i and batch.schema.names[k] != "docweave_drops"]
+            done = [_without(text.encode(), drop, least) if drop else (text, 0) for text, drop in zip(texts, drops)]
             names = [x for x in batch.schema.names if x not in ("text", "docweave_drops")]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(out, pa.string()), pa.array(gone, pa.int32()), pa.array(copies)], names=[*names, "text", "n_dropped", "is_copy"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), pa.array([t for t, _ in done], pa.string()), pa.array([n for _, n in done], pa.int32())], names=[*names, "text", "n_dropped"])
 
     return run
 
 
-def _without(raw: bytes, found: list[dict], least: int) -> tuple[str, int, bool]:
-    """The text without its recurring runs, how many segments went, and whether runs of a copy stayed."""
-    starts, _, _, first, owner, *_ = segments([raw])
-    size = np.diff(first)
-    recurs, left, right = (np.zeros(len(owner), bool) for _ in range(3))
-    for x in found:
-        a, b = x["number"], x["number"] + x["span"]
-        recurs[a:b] = True
-        left[a] |= x["open_left"]
-        right[b - 1] |= x["open_right"]
+def _without(raw: bytes, drops: list[dict], least: int) -> tuple[str, int]:
+    """The text without the segments of drops, and the short ones between two of them; and how many went."""
+    starts, _, first, owner, *_ = segments([raw])
     gone = np.zeros(len(owner), bool)
-    run: list[int] = []
-    short: list[int] = []
-    stayed = False
-
-    def close() -> None:
-        nonlocal stayed
-        if run:
-            if left[run[0]] or right[run[-1]]:
-                gone[run] = True
-            else:
-                stayed = True
-        run.clear()
-
-    for k in range(len(owner)):
-        if recurs[k]:
-            if left[k]:
-                close()
-                short.clear()
-            run.extend(short + [k])
-            short.clear()
-            if right[k]:
-                close()
-        elif run and size[k] < least:
-            short.append(k)  # a short segment goes with the run on both its sides
-        else:
-            close()
-            short.clear()
-    close()
+    for x in drops:
+        gone[x["number"] : x["number"] + x["span"]] = True
+    at = np.flatnonzero(gone)
+    long = np.concatenate(([0], np.cumsum(np.diff(first) >= least)))
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+        if b > a + 1 and long[b] == long[a + 1]:
+            gone[a + 1 : b] = True
     begin = starts[first[:-1]]
     begin[0] = 0
     end = np.append(begin[1:], len(raw))
     kept = [raw[a:b] for a, b, g in zip(begin.tolist(), end.tolist(), gone.tolist()) if not g]
-    return b"".join(kept).decode(), int(gone.sum()), stayed
-
+    return b"".join(kept).decode(), int(gone.sum())
 
-def recurring_lines(docs: DataFrame, min_docs: int = 4, depth: int = 3, least_tokens: int = 5, least_constant: float = 0.7, open_share: float = 0.3) -> DataFrame:
-    """(key, drops): for each document with recurring lines, the numbers of those segments and
-    whether the neighbours before and after them are the document's own.
 
-    key is row_key of doc_id and text, so repeated rows count as one document and null
-    ids are safe. Texts without words, or null, have no segments."""
-    own = docs.select(row_key("doc_id", "text").alias("key"), F.col("text").cast("string"))
-    leaves = own.select("key", "text").mapInArrow(_lines(depth, least_tokens, None), "leaf long")
-    hot = materialise(leaves.groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf"), "leaves")
-    bits = np.zeros(1 << BITS, np.uint8)
-    mask = (1 << BITS) - 1
-    # the bitmap in 2**13 words of 2**10 bits: what reaches the driver has a fixed bound
-    words = hot.select(F.col("leaf").bitwiseAND(F.lit(mask)).alias("b")).distinct().groupBy(F.shiftright("b", 10).alias("w")).agg(F.collect_set((F.col("b") % 1024).cast("short")).alias("bits"))
-    for w, b in words.collect():
-        bits[np.array(b, np.int64) + (w << 10)] = 1
-    found = own.mapInArrow(_lines(depth, least_tokens, np.packbits(bits).tobytes()), "key long, number int, span int, leaf long, line long, before array<long>, after array<long>, tokens array<long>")
-    found = materialise(found.join(hot, "leaf", "left_semi"), "lines")
-    in_docs = found.select("key", "leaf", "line").distinct().groupBy("leaf", "line").agg(F.count("*").alias("n"))
-    lines = materialise(in_docs.join(found.groupBy("line").agg(F.min("tokens").alias("tokens")), "line"), "distinct")
-    places = lines.select("leaf", "line", "n", F.size("tokens").alias("size"), F.posexplode("tokens").alias("place", "token")).where(F.col("token") != int(_WILD))
-    common = places.groupBy("leaf", "place", "token").agg(F.sum("n").alias("docs")).where(F.col("docs") >= min_docs)
-    tagged = places.join(common, ["leaf", "place", "token"]).groupBy("leaf", "line", "n", "size").agg(F.collect_list(F.struct("docs", "place", "token")).alias("c"), F.max("docs").alias("top"))
+def _templates(lines: DataFrame, found: DataFrame, min_docs: int, least_constant: float) -> DataFrame:
+    """(line, template, n): of lines (leaf, line, n documents, tokens) those that recur, with the
+    recurring template of most documents that they are of."""
+    key = F.xxhash64("leaf", "place", "token").alias("k")
+    places = lines.select("leaf", "line", "n", F.size("tokens").alias("size"), F.posexplode("tokens").alias("place", "token")).where(F.col("token") != int(_WILD)).select("*", key)
+    common = materialise(places.groupBy("k").agg(F.sum("n").alias("docs")).where(F.col("docs") >= min_docs), "common")
+    tagged = skew_join(places, common, "k", "docs").groupBy("leaf", "line", "n", "size").agg(F.collect_list(F.struct("docs", "place", "token")).alias("c"), F.max("docs").alias("top"))
     levels = F.sequence(F.lit(0), F.floor(F.log(4.0, F.col("top") / min_docs) + 1e-9).cast("int"))
     # what is constant at each level: min_docs documents, four times as many, and so on
     kept = F.transform(levels, lambda j: F.array_sort(F.transform(F.filter("c", lambda x: x.docs >= min_docs * F.pow(F.lit(4.0), j)), lambda x: F.struct(x.place.alias("place"), x.token.alias("token")))))
     cand = tagged.select("leaf", "line", "n", "size", F.explode(F.array_distinct(kept)).alias("constants"))
     cand = cand.where((F.size("constants") >= least_constant * F.col("size")) & (F.size("constants") >= 4))
-    cand = materialise(cand.withColumn("template", F.xxhash64("leaf", "constants")), "templates")
-    sums = materialise(cand.groupBy("template").agg(F.sum("n").alias("total"), F.max("n").alias("most")), "sums")
-    few = cand.join(sums.where(F.col("most") < min_docs), "template")
-    # recurring: a line of it is frequent, min_docs documents hold lines of it, or it fits a frequent line
-    by_line = sums.where(F.col("most") >= min_docs).select("template")
-    by_docs = found.select("key", "line").join(few.where(F.col("total") >= min_docs).select("line", "template"), "line").select("key", "template").distinct().groupBy("template").count().where(F.col("count") >= min_docs).select("template")
+    # a frequent line but for one token, so that rare variants of it are of its template
     often = lines.where(F.col("n") >= min_docs)
-    whole = often.select("leaf", F.col("tokens").alias("all"), F.posexplode("tokens").alias("place", "token"))
-    probe = few.dropDuplicates(["template"]).select("template", "leaf", "constants", F.col("constants")[F.size("constants") - 1].alias("x")).select("template", "leaf", "constants", "x.place", "x.token")
-    fits = F.forall("constants", lambda x: F.get("all", x.place) == x.token)
-    by_fit = probe.join(whole, (probe.leaf == whole.leaf) & (probe.place == whole.place) & (probe.token == whole.token) & fits, "left_semi").select("template")
-    good = by_line.union(by_docs).union(by_fit).distinct().join(sums, "template")
+    own = F.filter(F.transform("tokens", lambda t, i: F.struct(i.alias("place"), t.alias("token"))), lambda x: x.token != int(_WILD))
+    but_one = often.where(F.size("tokens") >= 5).select("leaf", "line", "n", own.alias("own"))
+    but_one = but_one.select("leaf", "line", "n", F.explode(F.transform("own", lambda x: F.filter("own", lambda y: y.place != x.place))).alias("constants"))
+    cand = cand.select("leaf", "line", "n", "constants").union(but_one).select("line", "n", F.xxhash64("leaf", "constants").alias("template")).distinct()
+    cand = materialise(cand, "templates")
+    # a template with a frequent line goes by that line
+    frequent = F.max(F.struct("n", "line"))
+    sums = cand.groupBy("template").agg(F.sum("n").alias("total"), frequent.alias("top"), F.count("*").alias("n_lines"))
+    sums = materialise(sums.select("template", "total", F.col("top.n").alias("most"), F.col("top.line").alias("top"), "n_lines"), "sums")
+    some = materialise(sums.where((F.col("most") < min_docs) & (F.col("total") >= min_docs)).select("template", "n_lines"), "some")
+    few = skew_join(cand.select("line", "template"), some, "template", "n_lines").select("line", "template")
+    by_docs = found.select("key", "line").join(few, "line").select("key", "template").distinct().groupBy("template").count().where(F.col("count") >= min_docs).select("template")
+    good = sums.where(F.col("most") >= min_docs).select("template").union(by_docs).join(sums, "template")
+    good = good.select("template", "total", F.when(F.col("most") >= min_docs, F.col("top")).otherwise(F.col("template")).alias("id"), "n_lines")
+    of_lines = skew_join(cand.select("line", "n", "template"), materialise(good, "good"), "template", "n_lines")
     # of the templates of a line, that of the most documents
-    drop = often.select("line", F.struct(F.col("n").alias("total"), F.col("line").alias("template")).alias("t")).union(cand.select("line", "template").join(good, "template").select("line", F.struct("total", "template")))
-    drop = drop.groupBy("line").agg(F.max("t").alias("t")).select("line", "t.template")
-    seen = materialise(found.select("key", "number", "span", "line", "before", "after").join(drop, "line").drop("line"), "recurring")
+    all_of = often.select("line", "n", F.struct(F.col("n").alias("total"), F.col("line").alias("id")).alias("t")).union(of_lines.select("line", "n", F.struct("total", "id")))
+    return all_of.groupBy("line").agg(F.max("t").alias("t"), F.max("n").alias("n")).select("line", F.col("t.id").alias("template"), "n")
 
-    def shared(side: str) -> DataFrame:
-        """Of each template, the neighbours on that side (the next two) that have open_share of
-        its occurrences; the edge of a document (0) is no neighbour, and one occurrence no share."""
-        near = seen.where(F.col(side)[0] != 0).select("template", F.explode(F.array_distinct(side)).alias("near"), (F.col(side)[0]).alias("next"))
-        count = near.where(F.col("near") != 0).groupBy("template", "near").agg(F.count("*").alias("c"), F.count(F.when(F.col("near") == F.col("next"), 1)).alias("n"))
-        total = count.groupBy("template").agg(F.sum("n").alias("total"))
-        top = count.join(total, "template").where(F.col("c") >= F.greatest(F.lit(2), open_share * F.col("total")))
-        return top.groupBy("template").agg(F.collect_list("near").alias(f"shared_{side}"))  # few: each has a share
 
-    def is_open(side: str):
-        """Whether an occurrence has a neighbour on that side, and none that is shared."""
-        return (F.col(side)[0] != 0) & ~F.coalesce(F.arrays_overlap(side, f"shared_{side}"), F.lit(False))
+def recurring_lines(docs: DataFrame, min_docs: int = 4, depth: int = 3, least_tokens: int = 5, least_constant: float = 0.7) -> DataFrame:
+    """(key, is_copy, drops): of each document with recurring lines, whether it is a copy, and
+    the segments that go (number of the first and how many; null if none).
 
-    both = seen.join(shared("before").join(shared("after"), "template", "full"), "template", "left")
-    both = both.select("key", "number", "span", is_open("before").alias("open_left"), is_open("after").alias("open_right"))
-    return both.groupBy("key").agg(F.collect_set(F.struct("number", "span", "open_left", "open_right")).alias("drops"))
-
-
-def line_dedup(docs: DataFrame, min_docs: int = 4, depth: int = 3, least_tokens: int = 5, open_share: float = 0.3) -> DataFrame:
+    key is row_key of doc_id and text, so repeated rows count as one document and null
+    ids are safe. Texts without words, or null, have no segments."""
+    own = docs.select(row_key("doc_id", "text").alias("key"), F.col("text").cast("string"))
+    leaves = own.select("key", "text").mapInArrow(_lines(depth, least_tokens, None), "leaf long")
+    hot = materialise(leaves.groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf"), "leaves")
+    found = own.mapInArrow(_lines(depth, least_tokens, bitmap_of(hot, "leaf", BITS)), "key long, number int, span int, a int, b int, words int, leaf long, line long, tokens array<long>")
+    found = materialise(found, "lines")
+    in_docs = found.select("key", "leaf", "line").distinct().groupBy("leaf", "line").agg(F.count("*").alias("n"))
+    lines = materialise(in_docs.join(found.groupBy("line").agg(F.min("tokens").alias("tokens")), "line"), "distinct")
+    line_of = materialise(_templates(lines, found, min_docs, least_constant), "recurring")
+    seen = skew_join(found.select("key", "number", "span", "a", "b", "words", "line"), line_of, "line", "n")
+    per = seen.groupBy("key").agg(F.max("words").alias("words"), F.array_sort(F.collect_set(F.struct("a", "b", "number", "span", "template"))).alias("units"))
+    # words covered, and the longest stretch between covered ones
+    start = F.struct(F.lit(0).alias("end"), F.lit(0).alias("covered"), F.lit(0).alias("gap"))
+    over = F.aggregate("units", start, lambda s, u: F.struct(F.greatest(s.end, u.b).alias("end"), (s.covered + F.greatest(F.lit(0), u.b - F.greatest(s.end, u.a))).alias("covered"), F.greatest(s.gap, u.a - s.end).alias("gap")))
+    per = per.withColumn("over", over).withColumn("n_long", F.size(F.filter("units", lambda u: (u.span == 1) & (u.b - u.a >= least_tokens))))
+    covered, words, gap = F.col("over.covered"), F.col("words"), F.greatest("over.gap", F.col("words") - F.col("over.end"))
+    copy = (covered == words) | ((covered >= SAME * words) & (F.col("n_long") >= 3)) | ((covered >= MOST * words) & (F.col("n_long") >= 5) & (gap <= F.greatest(F.lit(30), words / 10)))
+    least = F.array_min(F.transform("units", lambda u: F.xxhash64(u.template)))
+    per = materialise(per.select("key", copy.alias("is_copy"), F.when(copy, least).otherwise(F.col("key")).alias("class"), "units"), "documents")
+    held = per.select("class", F.explode(F.array_distinct(F.transform("units", lambda u: u.template))).alias("template")).groupBy("template", "class").agg(F.count("*").alias("n"))
+    held = held.groupBy("template").agg(F.sum("n").alias("n_docs"), F.count("*").alias("n_classes"))
+    recurs = F.col("n_classes") >= F.floor(F.least(F.lit(min_docs), F.col("n_docs")) + 2 * F.log2(F.col("n_docs") / F.col("n_classes")))
+    # units of a document may be of one template: the weight is that of all rows
+    sizes = per.select(F.explode("units").alias("u")).groupBy("u.template").agg(F.count("*").alias("n"))
+    verdict = materialise(held.where(recurs).select("template", (F.col("n_classes") * 2 >= F.col("n_docs")).alias("in_copies")).join(sizes, "template"), "verdict")
+    units = per.select("key", "is_copy", F.explode("units").alias("u")).select("key", "is_copy", "u.number", "u.span", "u.template")
+    gone = skew_join(units, verdict, "template", "n").where("in_copies or not is_copy").groupBy("key").agg(F.collect_set(F.struct("number", "span")).alias("drops"))
+    return per.select("key", "is_copy").join(gone, "key", "left").where("is_copy or drops is not null")
+
+
+def line_dedup(docs: DataFrame, min_docs: int = 4, depth: int = 3, least_tokens: int = 5) -> DataFrame:
     """docs (doc_id, text and any other columns) with recurring lines taken out of text,
-    and columns n_dropped (segments) and is_copy (recurring lines stayed, as a copy's).
+    and columns n_dropped (segments) and is_copy (its lines recur, but in its copies).
 
-    Rows come out as often as they come in; a null text stays null. A row that nothing
-    is dropped from is unchanged. Columns of docs named n_dropped or is_copy are replaced."""
-    drops = recurring_lines(docs, min_docs, depth, least_tokens, open_share=open_share)
+    Rows come out as often as they come in; a null text stays null, a text of which all lines go
+    is empty. A row that nothing is dropped from is unchanged. Very long texts are read whole.
+    Columns of docs named n_dropped or is_copy are replaced; docweave_key and docweave_drops
+    are taken for the operator's own and must not be among docs' columns."""
+    drops = recurring_lines(docs, min_docs, depth, least_tokens)
     cols = [c for c in docs.columns if c not in ("n_dropped", "is_copy")]
     marked = docs.select(*cols, row_key("doc_id", "text").alias("docweave_key"))
-    joined = marked.join(drops.select(F.col("key").alias("docweave_key"), F.col("drops").alias("docweave_drops")), "docweave_key", "left").drop("docweave_key")
+    joined = marked.join(drops.select(F.col("key").alias("docweave_key"), F.coalesce("is_copy", F.lit(False)).alias("is_copy"), F.col("drops").alias("docweave_drops")), "docweave_key", "left").drop("docweave_key")
     rest = [c for c in cols if c != "text"]
     types = {f.name: f.dataType.simpleString() for f in docs.schema}
-    schema = ", ".join([*(f"`{c}` {types[c]}" for c in rest), "text string", "n_dropped int", "is_copy boolean"])
-    done = joined.select(*rest, F.col("text").cast("string").alias("text"), "docweave_drops").mapInArrow(_rebuild(least_tokens), schema)
+    schema = ", ".join([*(f"`{c}` {types[c]}" for c in rest), "is_copy boolean", "text string", "n_dropped int"])
+    done = joined.select(*rest, F.coalesce("is_copy", F.lit(False)).alias("is_copy"), F.col("text").cast("string").alias("text"), "docweave_drops").mapInArrow(_rebuild(least_tokens), schema)
     return done.select(*cols, "n_dropped", "is_copy")
