@@ -38,14 +38,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def skew_join(big: DataFrame, small: DataFrame, on: str, weight: str, shares: int = 4096) -> DataFrame:
-    """Inner join where one key may hold any part of big's rows. small is a table that has been
+def skew_join(big: DataFrame, small: DataFrame, on: str, weight: str, shares: int = 4096, salts: int = 256) -> DataFrame:
+    """Inner join on a key that may hold any part of big's rows. small is a table that has been
     written, with one row a key and weight, the rows of big with that key (or more). Keys of more
-    than 1/shares of all rows are at most shares, so they are broadcast; the rest is shuffled."""
+    than 1/shares of all rows, at most shares, are dealt to salts tasks by a hash of big's rows."""
     total = small.agg(F.sum(weight)).first()[0] or 0
-    heavy, light = small.where(F.col(weight) * shares > total), small.where(F.col(weight) * shares <= total)
-    out = big.join(F.broadcast(heavy), on)
-    return out.unionByName(big.join(F.broadcast(heavy.select(on)), on, "left_anti").join(light, on).select(out.columns))
+    frequent = F.col(weight) * shares > total
+    marked = big.join(F.broadcast(small.where(frequent & (F.col(weight) > 1000)).select(on, F.lit(True).alias("dw_often"))), on, "left")
+    salt = F.when(F.col("dw_often"), F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int")).otherwise(F.lit(0))
+    dealt = F.when(frequent & (F.col(weight) > 1000), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    return marked.withColumn("dw_salt", salt).drop("dw_often").join(small.withColumn("dw_salt", F.explode(dealt)), [on, "dw_salt"]).drop("dw_salt")
 
 
 _written: list[tuple[SparkSession, str]] = []

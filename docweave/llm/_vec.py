@@ -74,6 +74,17 @@ def spans(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
+_T_WORD = np.where(SPACE, np.uint64(0), _T)
+
+
+def hash_words(buf: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """hash_spans of whole words: white space counts nothing, so sums run from start to start."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    pw, inv = _powers(len(buf) + 1)
+    return mix(np.add.reduceat(_T_WORD[buf] * pw[: len(buf)], starts) * inv[starts])
+
+
 def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     pw, inv = _powers(len(buf) + 1)
     total = np.empty(len(buf) + 1, np.uint64)
@@ -136,6 +147,16 @@ class Words(NamedTuple):
     line: np.ndarray
 
 
+def _held(places: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many of the sorted places lie in each of the spans, which are sorted and apart."""
+    out = np.zeros(len(a), np.int64)
+    if len(a):
+        word = np.searchsorted(a, places, "right") - 1
+        inside = (word >= 0) & (places < b[np.maximum(word, 0)])
+        out += np.bincount(word[inside], minlength=len(a))
+    return out
+
+
 def scan(raw: bytes, bare: bool = False) -> Words:
     """Words of a text, which may be very long: what takes memory by the byte is done in parts.
     bare: hash words in lower case without outer punctuation, where anything else is left."""
@@ -150,12 +171,23 @@ def scan(raw: bytes, bare: bool = False) -> Words:
             y = own[np.maximum(np.searchsorted(own, ends) - 1, 0)] + 1
             some = (x < ends) & (y > starts) & (x < y)
             a, b = np.where(some, x, starts), np.where(some, y, ends)
-        count = lambda t: np.concatenate((np.zeros(1, np.int32), np.cumsum(t[buf], dtype=np.int32)))
-        digits, numeric, upper, newline = count(_DIGIT), count(_NUMERIC), count(_UPPER), count(table([10]))
-        digit = digits[b] > digits[a]
-        one = _UPPER[buf[a]] & (upper[b] - upper[a] == 1)
-        got.append((starts + at, ends + at, hash_spans(_LOW[buf] if bare else buf, a, b), digit, digit & (numeric[b] - numeric[a] == b - a), one, some, buf[ends - 1], newline[starts].astype(np.int64) + lines))
-        lines += int(newline[len(buf) - 1])
+        breaks = np.flatnonzero(buf == 10)
+        at_digits = np.flatnonzero(_DIGIT[buf])
+        digit = _held(at_digits, a, b) > 0
+        number, capital = np.zeros(len(a), bool), np.zeros(len(a), bool)
+        if bare:
+            own = np.flatnonzero(digit)
+            size = b[own] - a[own]
+            first = np.cumsum(size) - size
+            if len(own):  # words with digits, byte by byte
+                signs = _NUMERIC[buf[np.arange(int(size.sum())) + np.repeat(a[own] - first, size)]]
+                number[own] = np.add.reduceat(signs.astype(np.int64), first) == size
+            capital = _UPPER[buf[a]] & (_held(np.flatnonzero(_UPPER[buf]), a, b) == 1)
+            hashed = hash_spans(_LOW[buf], a, b)
+        else:
+            hashed = hash_words(buf, starts)
+        got.append((starts + at, ends + at, hashed, digit, number, capital, some, buf[ends - 1], np.searchsorted(breaks, starts) + lines))
+        lines += len(breaks) - 1  # the last is not the text's
     return Words(*(np.concatenate(x) for x in zip(*got)))
 
 

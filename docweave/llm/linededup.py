@@ -11,8 +11,8 @@ frequent line is of it, or it is a frequent line but for one token. Short segmen
 least_tokens) count as whole lines, as they are, and together with the long segment beside them.
 
 Recurring templates go, unless their documents are copies of each other. A document is a
-copy if recurring templates cover it: all of its words; SAME of them in three segments or more
-(a similarity of 0.75); or most of them, in five segments or more and with short gaps only,
+copy if recurring templates cover it: all of its text; SAME of it in three segments or more
+(a similarity of 0.75); or MOST of it, in five segments or more and with short gaps only,
 as edits leave them. A copy's class is the least hash of its templates, which copies have in
 common whatever their edits; a document that is no copy is a class of its own. A template goes
 where its documents are of min_docs classes, and two more for each time that its documents are
@@ -40,26 +40,25 @@ from ._vec import _C, batches, mix, scan, slices, table
 from .decontam import bitmap_of, row_key
 
 BITS = 25
-SAME, MOST = 6 / 7, 0.6  #: of a copy's words; 6/7 of its words in common make a similarity of 0.75
+SAME, MOST = 6 / 7, 0.6  #: of a copy's text; 6/7 of it in common make a similarity of 0.75
+GAP = 200  #: bytes, about 30 words
 _WILD = np.uint64(0x2A)
 _END = table(b".!?")
 
 
 def segments(texts: list[bytes]):
-    """Word spans, token hashes (digits: wildcard), first word of each segment with the
-    end, the text that each belongs to, first word of each text with the end, word hashes, and
-    line of each segment."""
+    """Where texts begin (and one end), word starts, token hashes (digits: wildcard), first word
+    of each segment with the end, the text that each belongs to, word hashes, and line of each segment."""
+    begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
     w = scan(b"\n".join(texts))
     n = len(w.starts)
-    begins = np.searchsorted(w.starts, np.cumsum([0, *(len(t) + 1 for t in texts)]))
     if not n:
         none = np.zeros(0, np.int64)
-        return w.starts, np.zeros(0, np.uint64), np.zeros(1, np.int64), none, begins, np.zeros(0, np.uint64), none
+        return begins, w.starts, np.zeros(0, np.uint64), np.zeros(1, np.int64), none, np.zeros(0, np.uint64), none
     token = np.where(w.digit, _WILD, w.hash)
     new = np.concatenate(([True], (w.line[1:] > w.line[:-1]) | _END[w.last[:-1]]))
     first = np.flatnonzero(new)
-    owner = np.searchsorted(begins, first, "right") - 1
-    return w.starts, token, np.append(first, n), owner, begins, w.hash, w.line[first]
+    return begins, w.starts, token, np.append(first, n), np.searchsorted(begins, w.starts[first], "right") - 1, w.hash, w.line[first]
 
 
 def _exact(token: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -83,10 +82,11 @@ def _leaves(token: np.ndarray, first: np.ndarray, depth: int, least: int):
 
 def _chains(exact: np.ndarray, owner: np.ndarray, size: np.ndarray, least: int):
     """Units of several segments: a segment of least tokens or more with the shorter ones that
-    follow it, up to each of them, and likewise before it. First segment, end and hash of each."""
+    follow it, up to each of them, and likewise before it. First segment, end, hash and the
+    longer segment of each."""
     n = len(exact)
     at = np.arange(n)
-    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))]
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))]
     for flip in (False, True):
         h, who, long = (x[::-1] if flip else x for x in (exact, owner, size >= least))
         anchor = np.maximum.accumulate(np.where(long, at, -1))
@@ -94,7 +94,7 @@ def _chains(exact: np.ndarray, owner: np.ndarray, size: np.ndarray, least: int):
         total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(h + (at - anchor).astype(np.uint64) * _C[10]))))
         a, b = anchor[own], own + 1
         hashed = mix(total[b] - total[a] + _C[11 + flip])
-        out.append((n - b, n - a, hashed) if flip else (a, b, hashed))
+        out.append((n - b, n - a, hashed, n - 1 - a) if flip else (a, b, hashed, a))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
@@ -109,70 +109,86 @@ def _physical(word: np.ndarray, first: np.ndarray, row: np.ndarray, least: int):
 
 
 def _lines(depth: int, least: int, bitmap: bytes | None):
+    """Without a bitmap: the leaves of each document's long segments and whole lines. With one:
+    the units whose leaf it holds; of a chain, that of its long segment."""
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = None if bitmap is None else np.unpackbits(np.frombuffer(bitmap, np.uint8)).view(bool)
         for batch in slices(it):
-            keys, texts = np.array(batch.column(0).to_pylist(), np.int64), [(x or "").encode() for x in batch.column(1).to_pylist()]
+            texts = [(x or "").encode() for x in batch.column(0).to_pylist()]
+            keys = None if hot is None else np.array(batch.column(1).to_pylist(), np.int64)
             for a, b in batches(texts):
-                _, token, first, owner, begins, word, row = segments(texts[a:b])
+                begins, starts, token, first, owner, word, row = segments(texts[a:b])
                 if not len(owner):
                     continue
-                exact = _exact(token, first)
+                size = np.diff(first)
                 own, n, leaf = _leaves(token, first, depth, least)
-                more = [np.concatenate(x) for x in zip(_chains(exact, owner, np.diff(first), least), _physical(word, first, row, least))]
-                head, tail = np.concatenate((own, more[0])), np.concatenate((own + 1, more[1]))
-                line, leaf = np.concatenate((exact[own], more[2])), np.concatenate((leaf, more[2]))
-                n = np.concatenate((n, np.zeros(len(more[0]), np.int64)))  # only single segments have fields
-                who = owner[head]
+                line_head, line_tail, line_hash = _physical(word, first, row, least)
                 if hot is None:  # one row for a document and leaf
+                    who, leaf = owner[np.concatenate((own, line_head))], np.concatenate((leaf, line_hash))
                     order = np.lexsort((leaf, who))
                     x, y = who[order], leaf[order]
                     new = np.ones(len(x), bool)
                     new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
                     yield pa.RecordBatch.from_arrays([pa.array(y[new].view(np.int64))], names=["leaf"])
                     continue
-                keep = hot[(leaf & np.uint64((1 << BITS) - 1)).astype(np.int64)]
-                head, tail, line, n, leaf, who = (x[keep] for x in (head, tail, line, n, leaf, who))
+                is_hot = lambda x: hot[(x & np.uint64((1 << BITS) - 1)).astype(np.int64)]
+                exact = _exact(token, first)
+                keep = is_hot(leaf)
+                anchors = np.zeros(len(owner), bool)
+                anchors[own[keep]] = True
+                head, tail, line, anchor = _chains(exact, owner, size, least)
+                chain = anchors[anchor]
+                whole = is_hot(line_hash)
+                head = np.concatenate((own[keep], head[chain], line_head[whole]))
+                tail = np.concatenate((own[keep] + 1, tail[chain], line_tail[whole]))
+                line = np.concatenate((exact[own[keep]], line[chain], line_hash[whole]))
+                n = np.concatenate((n[keep], np.zeros(len(line) - int(keep.sum()), np.int64)))  # only single segments have fields
+                leaf = np.concatenate((leaf[keep], line[len(n[n > 0]) :]))
+                who = owner[head]
                 number = head - np.searchsorted(owner, who)  # of the first segment in its text
-                starts = first[head]
+                # bytes from the segment's begin to the next one's; the first begins with the text, the last ends with it
+                new = np.diff(owner, prepend=-1) > 0
+                begin = np.append(np.where(new, 0, starts[first[:-1]] - begins[owner]), 0)
+                total = np.diff(begins)[owner] - 1
+                ends = np.where(np.append(new[1:], True), total, begin[1:])
+                # short segments that follow
+                short = np.append((size < least) & ~new, False)
+                stop = np.flatnonzero(~short)
+                after = stop[np.searchsorted(stop, tail)] - tail
                 bounds = np.concatenate(([0], np.cumsum(n)))
-                take = np.arange(bounds[-1]) + np.repeat(starts - bounds[:-1], n)
-                ints = (number, tail - head, starts - begins[who], first[tail] - begins[who], np.diff(begins)[who])
+                take = np.arange(bounds[-1]) + np.repeat(first[head] - bounds[:-1], n)
+                ints = (number, tail - head, begin[head], ends[tail - 1], total[head], after)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[a + who]), *(pa.array(x.astype(np.int32)) for x in ints), pa.array(leaf.view(np.int64)), pa.array(line.view(np.int64)), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(token[take].view(np.int64)))],
-                    names=["key", "number", "span", "a", "b", "words", "leaf", "line", "tokens"],
+                    [pa.array(keys[a + who]), *(pa.array(x.astype(np.int32)) for x in ints), pa.array(n > 0), pa.array(leaf.view(np.int64)), pa.array(line.view(np.int64)), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(token[take].view(np.int64)))],
+                    names=["key", "number", "span", "a", "b", "bytes", "after", "is_long", "leaf", "line", "tokens"],
                 )
 
     return run
 
 
-def _rebuild(least: int):
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(it):
-            texts, drops = batch.column("text").to_pylist(), batch.column("docweave_drops").to_pylist()
-            done = [_without(text.encode(), drop, least) if drop else (text, 0) for text, drop in zip(texts, drops)]
-            names = [x for x in batch.schema.names if x not in ("text", "docweave_drops")]
-            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), pa.array([t for t, _ in done], pa.string()), pa.array([n for _, n in done], pa.int32())], names=[*names, "text", "n_dropped"])
-
-    return run
+def _rebuild(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(it):
+        texts, drops = batch.column("text").to_pylist(), batch.column("docweave_drops").to_pylist()
+        done = [_without(text.encode(), drop) if drop else (text, 0) for text, drop in zip(texts, drops)]
+        names = [x for x in batch.schema.names if x not in ("text", "docweave_drops")]
+        yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), pa.array([t for t, _ in done], pa.string()), pa.array([n for _, n in done], pa.int32())], names=[*names, "text", "n_dropped"])
 
 
-def _without(raw: bytes, drops: list[dict], least: int) -> tuple[str, int]:
-    """The text without the segments of drops, and the short ones between two of them; and how many went."""
-    starts, _, first, owner, *_ = segments([raw])
-    gone = np.zeros(len(owner), bool)
-    for x in drops:
-        gone[x["number"] : x["number"] + x["span"]] = True
-    at = np.flatnonzero(gone)
-    long = np.concatenate(([0], np.cumsum(np.diff(first) >= least)))
-    for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
-        if b > a + 1 and long[b] == long[a + 1]:
-            gone[a + 1 : b] = True
-    begin = starts[first[:-1]]
-    begin[0] = 0
-    end = np.append(begin[1:], len(raw))
-    kept = [raw[a:b] for a, b, g in zip(begin.tolist(), end.tolist(), gone.tolist()) if not g]
-    return b"".join(kept).decode(), int(gone.sum())
+def _without(raw: bytes, drops: list[dict]) -> tuple[str, int]:
+    """The text without the units of drops, and the short segments between two of them; and how many segments went."""
+    kept, at, n, number, after = [], 0, 0, 0, 0
+    for x in sorted(drops, key=lambda x: (x["number"], -x["span"])):
+        end = x["number"] + x["span"]
+        if at and x["number"] <= number + after:  # next to what went, or with short segments between
+            n += max(0, end - number)
+        else:
+            kept.append(raw[at : x["a"]])
+            n += x["span"]
+        if end > number or not at:
+            at, number, after = x["b"], end, x["after"]
+    kept.append(raw[at:])
+    return b"".join(kept).decode(), n
 
 
 def _templates(lines: DataFrame, found: DataFrame, min_docs: int, least_constant: float) -> DataFrame:
@@ -187,13 +203,14 @@ def _templates(lines: DataFrame, found: DataFrame, min_docs: int, least_constant
     kept = F.transform(levels, lambda j: F.array_sort(F.transform(F.filter("c", lambda x: x.docs >= min_docs * F.pow(F.lit(4.0), j)), lambda x: F.struct(x.place.alias("place"), x.token.alias("token")))))
     cand = tagged.select("leaf", "line", "n", "size", F.explode(F.array_distinct(kept)).alias("constants"))
     cand = cand.where((F.size("constants") >= least_constant * F.col("size")) & (F.size("constants") >= 4))
-    # a frequent line but for one token, so that rare variants of it are of its template
+    cand = materialise(cand.select("line", "n", F.xxhash64("leaf", "constants").alias("template")), "own")
+    # a frequent line but for one token is of the template of its rare variants
     often = lines.where(F.col("n") >= min_docs)
     own = F.filter(F.transform("tokens", lambda t, i: F.struct(i.alias("place"), t.alias("token"))), lambda x: x.token != int(_WILD))
     but_one = often.where(F.size("tokens") >= 5).select("leaf", "line", "n", own.alias("own"))
-    but_one = but_one.select("leaf", "line", "n", F.explode(F.transform("own", lambda x: F.filter("own", lambda y: y.place != x.place))).alias("constants"))
-    cand = cand.select("leaf", "line", "n", "constants").union(but_one).select("line", "n", F.xxhash64("leaf", "constants").alias("template")).distinct()
-    cand = materialise(cand, "templates")
+    but_one = but_one.select("line", "n", F.explode(F.transform("own", lambda x: F.xxhash64("leaf", F.filter("own", lambda y: y.place != x.place)))).alias("template"))
+    rare = cand.where(F.col("n") < min_docs).select("template").distinct()
+    cand = materialise(cand.union(but_one.join(rare, "template", "left_semi").select("line", "n", "template")).distinct(), "templates")
     # a template with a frequent line goes by that line
     frequent = F.max(F.struct("n", "line"))
     sums = cand.groupBy("template").agg(F.sum("n").alias("total"), frequent.alias("top"), F.count("*").alias("n_lines"))
@@ -211,26 +228,28 @@ def _templates(lines: DataFrame, found: DataFrame, min_docs: int, least_constant
 
 def recurring_lines(docs: DataFrame, min_docs: int = 4, depth: int = 3, least_tokens: int = 5, least_constant: float = 0.7) -> DataFrame:
     """(key, is_copy, drops): of each document with recurring lines, whether it is a copy, and
-    the segments that go (number of the first and how many; null if none).
+    the units that go: number of the first segment, how many, UTF-8 bytes from a to b, and how
+    many short segments follow; null if none.
 
     key is row_key of doc_id and text, so repeated rows count as one document and null
     ids are safe. Texts without words, or null, have no segments."""
     own = docs.select(row_key("doc_id", "text").alias("key"), F.col("text").cast("string"))
-    leaves = own.select("key", "text").mapInArrow(_lines(depth, least_tokens, None), "leaf long")
+    leaves = docs.select(F.col("text").cast("string")).mapInArrow(_lines(depth, least_tokens, None), "leaf long")
     hot = materialise(leaves.groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf"), "leaves")
-    found = own.mapInArrow(_lines(depth, least_tokens, bitmap_of(hot, "leaf", BITS)), "key long, number int, span int, a int, b int, words int, leaf long, line long, tokens array<long>")
+    found = own.select("text", "key").mapInArrow(_lines(depth, least_tokens, bitmap_of(hot, "leaf", BITS)), "key long, number int, span int, a int, b int, bytes int, after int, is_long boolean, leaf long, line long, tokens array<long>")
     found = materialise(found, "lines")
     in_docs = found.select("key", "leaf", "line").distinct().groupBy("leaf", "line").agg(F.count("*").alias("n"))
     lines = materialise(in_docs.join(found.groupBy("line").agg(F.min("tokens").alias("tokens")), "line"), "distinct")
     line_of = materialise(_templates(lines, found, min_docs, least_constant), "recurring")
-    seen = skew_join(found.select("key", "number", "span", "a", "b", "words", "line"), line_of, "line", "n")
-    per = seen.groupBy("key").agg(F.max("words").alias("words"), F.array_sort(F.collect_set(F.struct("a", "b", "number", "span", "template"))).alias("units"))
-    # words covered, and the longest stretch between covered ones
+    unit = ("a", "b", "number", "span", "after", "is_long", "template")
+    seen = skew_join(found.select("key", "number", "span", "a", "b", "bytes", "after", "is_long", "line"), line_of, "line", "n")
+    per = seen.groupBy("key").agg(F.max("bytes").alias("bytes"), F.array_sort(F.collect_set(F.struct(*unit))).alias("units"))
+    # bytes covered, and the longest stretch between covered ones
     start = F.struct(F.lit(0).alias("end"), F.lit(0).alias("covered"), F.lit(0).alias("gap"))
     over = F.aggregate("units", start, lambda s, u: F.struct(F.greatest(s.end, u.b).alias("end"), (s.covered + F.greatest(F.lit(0), u.b - F.greatest(s.end, u.a))).alias("covered"), F.greatest(s.gap, u.a - s.end).alias("gap")))
-    per = per.withColumn("over", over).withColumn("n_long", F.size(F.filter("units", lambda u: (u.span == 1) & (u.b - u.a >= least_tokens))))
-    covered, words, gap = F.col("over.covered"), F.col("words"), F.greatest("over.gap", F.col("words") - F.col("over.end"))
-    copy = (covered == words) | ((covered >= SAME * words) & (F.col("n_long") >= 3)) | ((covered >= MOST * words) & (F.col("n_long") >= 5) & (gap <= F.greatest(F.lit(30), words / 10)))
+    per = per.withColumn("over", over).withColumn("n_long", F.size(F.filter("units", lambda u: u.is_long)))
+    covered, size, gap = F.col("over.covered"), F.col("bytes"), F.greatest("over.gap", F.col("bytes") - F.col("over.end"))
+    copy = (covered == size) | ((covered >= SAME * size) & (F.col("n_long") >= 3)) | ((covered >= MOST * size) & (F.col("n_long") >= 5) & (gap <= F.greatest(F.lit(GAP), size / 10)))
     least = F.array_min(F.transform("units", lambda u: F.xxhash64(u.template)))
     per = materialise(per.select("key", copy.alias("is_copy"), F.when(copy, least).otherwise(F.col("key")).alias("class"), "units"), "documents")
     held = per.select("class", F.explode(F.array_distinct(F.transform("units", lambda u: u.template))).alias("template")).groupBy("template", "class").agg(F.count("*").alias("n"))
@@ -239,8 +258,8 @@ def recurring_lines(docs: DataFrame, min_docs: int = 4, depth: int = 3, least_to
     # units of a document may be of one template: the weight is that of all rows
     sizes = per.select(F.explode("units").alias("u")).groupBy("u.template").agg(F.count("*").alias("n"))
     verdict = materialise(held.where(recurs).select("template", (F.col("n_classes") * 2 >= F.col("n_docs")).alias("in_copies")).join(sizes, "template"), "verdict")
-    units = per.select("key", "is_copy", F.explode("units").alias("u")).select("key", "is_copy", "u.number", "u.span", "u.template")
-    gone = skew_join(units, verdict, "template", "n").where("in_copies or not is_copy").groupBy("key").agg(F.collect_set(F.struct("number", "span")).alias("drops"))
+    units = per.select("key", "is_copy", F.explode("units").alias("u")).select("key", "is_copy", "u.number", "u.span", "u.a", "u.b", "u.after", "u.template")
+    gone = skew_join(units, verdict, "template", "n").where("in_copies or not is_copy").groupBy("key").agg(F.collect_set(F.struct("number", "span", "a", "b", "after")).alias("drops"))
     return per.select("key", "is_copy").join(gone, "key", "left").where("is_copy or drops is not null")
 
 
@@ -259,5 +278,5 @@ def line_dedup(docs: DataFrame, min_docs: int = 4, depth: int = 3, least_tokens:
     rest = [c for c in cols if c != "text"]
     types = {f.name: f.dataType.simpleString() for f in docs.schema}
     schema = ", ".join([*(f"`{c}` {types[c]}" for c in rest), "is_copy boolean", "text string", "n_dropped int"])
-    done = joined.select(*rest, F.coalesce("is_copy", F.lit(False)).alias("is_copy"), F.col("text").cast("string").alias("text"), "docweave_drops").mapInArrow(_rebuild(least_tokens), schema)
+    done = joined.select(*rest, F.coalesce("is_copy", F.lit(False)).alias("is_copy"), F.col("text").cast("string").alias("text"), "docweave_drops").mapInArrow(_rebuild, schema)
     return done.select(*cols, "n_dropped", "is_copy")
