@@ -191,23 +191,25 @@ def _without(raw: bytes, drops: list[dict]) -> tuple[str, int]:
     return b"".join(kept).decode(), n
 
 
-def _templates(lines: DataFrame, found: DataFrame, min_docs: int, least_constant: float) -> DataFrame:
+def _templates(lines: DataFrame, found: DataFrame, min_docs: int, depth: int, least_constant: float) -> DataFrame:
     """(line, template, n): of lines (leaf, line, n documents, tokens) those that recur, with the
     recurring template of most documents that they are of."""
-    key = F.xxhash64("leaf", "place", "token").alias("k")
-    places = lines.select("leaf", "line", "n", F.size("tokens").alias("size"), F.posexplode("tokens").alias("place", "token")).where(F.col("token") != int(_WILD)).select("*", key)
+    # the leading tokens are those of the leaf: constant at every level, so only the others are counted
+    tail = F.filter(F.transform("tokens", lambda t, i: F.struct(i.alias("place"), t.alias("token"))), lambda x: (x.place >= depth) & (x.token != int(_WILD)))
+    heads = F.size(F.filter(F.slice("tokens", 1, depth), lambda t: t != int(_WILD)))
+    needed = F.greatest(F.lit(4), F.ceil(least_constant * F.size("tokens"))) - heads
+    places = lines.select("leaf", "line", "n", F.greatest(F.lit(1), needed).cast("int").alias("needed"), F.explode(tail).alias("x")).select("leaf", "line", "n", "needed", "x.place", "x.token", F.xxhash64("leaf", "x.place", "x.token").alias("k"))
     common = materialise(places.groupBy("k").agg(F.sum("n").alias("docs")).where(F.col("docs") >= min_docs), "common")
-    tagged = skew_join(places, common, "k", "docs").groupBy("leaf", "line", "n", "size").agg(F.collect_list(F.struct("docs", "place", "token")).alias("c"), F.max("docs").alias("top"))
+    tagged = skew_join(places, common, "k", "docs").groupBy("leaf", "line", "n", "needed").agg(F.collect_list(F.struct("docs", "place", "token")).alias("c"), F.max("docs").alias("top"))
+    tagged = tagged.where(F.size("c") >= F.col("needed"))
     levels = F.sequence(F.lit(0), F.floor(F.log(4.0, F.col("top") / min_docs) + 1e-9).cast("int"))
     # what is constant at each level: min_docs documents, four times as many, and so on
     kept = F.transform(levels, lambda j: F.array_sort(F.transform(F.filter("c", lambda x: x.docs >= min_docs * F.pow(F.lit(4.0), j)), lambda x: F.struct(x.place.alias("place"), x.token.alias("token")))))
-    cand = tagged.select("leaf", "line", "n", "size", F.explode(F.array_distinct(kept)).alias("constants"))
-    cand = cand.where((F.size("constants") >= least_constant * F.col("size")) & (F.size("constants") >= 4))
+    cand = tagged.select("leaf", "line", "n", "needed", F.explode(F.array_distinct(kept)).alias("constants")).where(F.size("constants") >= F.col("needed"))
     cand = materialise(cand.select("line", "n", F.xxhash64("leaf", "constants").alias("template")), "own")
     # a frequent line but for one token is of the template of its rare variants
     often = lines.where(F.col("n") >= min_docs)
-    own = F.filter(F.transform("tokens", lambda t, i: F.struct(i.alias("place"), t.alias("token"))), lambda x: x.token != int(_WILD))
-    but_one = often.where(F.size("tokens") >= 5).select("leaf", "line", "n", own.alias("own"))
+    but_one = often.select("leaf", "line", "n", tail.alias("own"))
     but_one = but_one.select("line", "n", F.explode(F.transform("own", lambda x: F.xxhash64("leaf", F.filter("own", lambda y: y.place != x.place)))).alias("template"))
     rare = cand.where(F.col("n") < min_docs).select("template").distinct()
     cand = materialise(cand.union(but_one.join(rare, "template", "left_semi").select("line", "n", "template")).distinct(), "templates")
@@ -238,9 +240,12 @@ def recurring_lines(docs: DataFrame, min_docs: int = 4, depth: int = 3, least_to
     hot = materialise(leaves.groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf"), "leaves")
     found = own.select("text", "key").mapInArrow(_lines(depth, least_tokens, bitmap_of(hot, "leaf", BITS)), "key long, number int, span int, a int, b int, bytes int, after int, is_long boolean, leaf long, line long, tokens array<long>")
     found = materialise(found, "lines")
-    in_docs = found.select("key", "leaf", "line").distinct().groupBy("leaf", "line").agg(F.count("*").alias("n"))
-    lines = materialise(in_docs.join(found.groupBy("line").agg(F.min("tokens").alias("tokens")), "line"), "distinct")
-    line_of = materialise(_templates(lines, found, min_docs, least_constant), "recurring")
+    counts = found.select("key", "is_long", "leaf", "line").distinct().groupBy("is_long", "leaf", "line").agg(F.count("*").alias("n"))
+    counts = materialise(counts.where((F.col("n") >= min_docs) | F.col("is_long")), "counts")
+    tokens = found.where("is_long").groupBy("line").agg(F.min("tokens").alias("tokens"))
+    lines = materialise(counts.where("is_long").join(tokens, "line"), "distinct")
+    of_long = _templates(lines, found.where("is_long"), min_docs, depth, least_constant)
+    line_of = materialise(of_long.union(counts.where("not is_long").select("line", F.col("line").alias("template"), "n")), "recurring")
     unit = ("a", "b", "number", "span", "after", "is_long", "template")
     seen = skew_join(found.select("key", "number", "span", "a", "b", "bytes", "after", "is_long", "line"), line_of, "line", "n")
     per = seen.groupBy("key").agg(F.max("bytes").alias("bytes"), F.array_sort(F.collect_set(F.struct(*unit))).alias("units"))
