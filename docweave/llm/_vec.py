@@ -7,12 +7,14 @@ finished with a mixer, so equal words have equal hashes wherever they stand.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
 
-BLOCK = 1 << 20
+BLOCK = 1 << 18  #: bytes worked on at once: some tens of arrays of it stay small
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 _rng = np.random.Generator(np.random.PCG64(20240607))
@@ -61,10 +63,26 @@ def batches(texts: Sequence[bytes], limit: int = BLOCK) -> Iterator[tuple[int, i
 
 
 def slices(it, rows: int = 1000):
-    """Arrow batches in slices of few rows, so that a worker holds few texts as Python objects."""
+    """Arrow batches in slices of few rows, so that a worker holds few texts as Python objects.
+    At the end, what the allocators keep goes back: workers live on, next to other stages' tasks."""
     for batch in it:
         for k in range(0, batch.num_rows, rows):
             yield batch.slice(k, rows)
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (OSError, AttributeError):  # another C library
+    _trim = None
+
+
+def test_bits(packed: bytes, x: np.ndarray) -> np.ndarray:
+    """Whether the numbers x are set in a bitmap of 8 * len(packed) bits."""
+    at = (x & np.uint64(8 * len(packed) - 1)).astype(np.int64)
+    return (np.frombuffer(packed, np.uint8)[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
 
 
 def spans(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import materialise
-from ._vec import _C, batches, hash_spans, mix, scan, slices, spans, table
+from ._vec import _C, batches, hash_spans, mix, scan, slices, spans, table, test_bits
 
 BITS = 22
 SALTS = 16
@@ -75,13 +75,12 @@ def _keys(shape, value, name, plain, size: int, least_words: int):
     return mix(np.where(is_template, mix(t), mix(v) + _C[40])) + _C[41] * np.uint64(size), is_template
 
 
-def _rows(shape, value, slot, name, plain, bounds, sizes: list[int], least_words: int, item_of: int | None, wanted: np.ndarray | None):
+def _rows(shape, value, slot, name, plain, bounds, sizes: list[int], least_words: int, item_of: int | None, wanted: bytes | None):
     """(text, place, size, hash, slots) of the windows of each text. sizes: window lengths to
     look for in documents; item_of: for items, windows of so many words, or one of all words of a
     shorter one. A text of under least_words words has one window of all its words, which only
     such a text can match. wanted: bitmap of hashes to let through."""
     length = np.diff(bounds)
-    mask = np.uint64((1 << BITS) - 1)
     owner = np.repeat(np.arange(len(length)), length)
     for size in range(least_words, item_of + 1) if item_of else sizes:
         if len(shape) < size:
@@ -92,16 +91,16 @@ def _rows(shape, value, slot, name, plain, bounds, sizes: list[int], least_words
         if item_of and size < item_of:
             ok &= length[at] == size
         if wanted is not None:
-            ok &= wanted[(h & mask).astype(np.int64)]
+            ok &= test_bits(wanted, h)
         for p in np.flatnonzero(ok).tolist():
             q = p + 1 if name[p] else p
             e = p + size
             yield at[p], p - bounds[at[p]], size, h[p], value[q:e][(slot | name)[q:e]] if is_template[p] else value[:0]
     for i in np.flatnonzero((length > 0) & (length < least_words)).tolist():
         a, b = bounds[i], bounds[i + 1]
-        h = mix((value[a:b] * _C[: b - a]).sum(keepdims=True, dtype=np.uint64) + _C[42])[0]
-        if wanted is None or wanted[int(h & mask)]:
-            yield i, 0, int(b - a), h, value[:0]
+        h = mix((value[a:b] * _C[: b - a]).sum(keepdims=True, dtype=np.uint64) + _C[42])
+        if wanted is None or test_bits(wanted, h)[0]:
+            yield i, 0, int(b - a), h[0], value[:0]
 
 
 _SCHEMA = "key long, place long, size int, hash long, slots array<long>"
@@ -109,11 +108,10 @@ _SCHEMA = "key long, place long, size int, hash long, slots array<long>"
 
 def _windows(sizes: list[int], least_words: int, item_of: int | None, bitmap: bytes | None):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = None if bitmap is None else np.unpackbits(np.frombuffer(bitmap, np.uint8)).astype(bool)
         for batch in slices(it):
             keys, texts = batch.column(0).to_pylist(), [(x or "").encode() for x in batch.column(1).to_pylist()]
             for a, b in batches(texts):
-                rows = list(_rows(*templates(texts[a:b]), sizes, least_words, item_of, wanted))
+                rows = list(_rows(*templates(texts[a:b]), sizes, least_words, item_of, bitmap))
                 if rows:
                     who, place, size, h, slots = zip(*rows)
                     yield pa.RecordBatch.from_arrays(

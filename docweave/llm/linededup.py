@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import materialise, skew_join
-from ._vec import _C, batches, mix, scan, slices, table
+from ._vec import _C, batches, mix, scan, slices, table, test_bits
 from .decontam import bitmap_of, row_key
 
 BITS = 25
@@ -113,10 +113,9 @@ def _lines(depth: int, least: int, bitmap: bytes | None):
     the units whose leaf it holds; of a chain, that of its long segment."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot = None if bitmap is None else np.unpackbits(np.frombuffer(bitmap, np.uint8)).view(bool)
         for batch in slices(it):
             texts = [(x or "").encode() for x in batch.column(0).to_pylist()]
-            keys = None if hot is None else np.array(batch.column(1).to_pylist(), np.int64)
+            keys = None if bitmap is None else np.array(batch.column(1).to_pylist(), np.int64)
             for a, b in batches(texts):
                 begins, starts, token, first, owner, word, row = segments(texts[a:b])
                 if not len(owner):
@@ -124,7 +123,7 @@ def _lines(depth: int, least: int, bitmap: bytes | None):
                 size = np.diff(first)
                 own, n, leaf = _leaves(token, first, depth, least)
                 line_head, line_tail, line_hash = _physical(word, first, row, least)
-                if hot is None:  # one row for a document and leaf
+                if bitmap is None:  # one row for a document and leaf
                     who, leaf = owner[np.concatenate((own, line_head))], np.concatenate((leaf, line_hash))
                     order = np.lexsort((leaf, who))
                     x, y = who[order], leaf[order]
@@ -132,14 +131,13 @@ def _lines(depth: int, least: int, bitmap: bytes | None):
                     new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
                     yield pa.RecordBatch.from_arrays([pa.array(y[new].view(np.int64))], names=["leaf"])
                     continue
-                is_hot = lambda x: hot[(x & np.uint64((1 << BITS) - 1)).astype(np.int64)]
                 exact = _exact(token, first)
-                keep = is_hot(leaf)
+                keep = test_bits(bitmap, leaf)
                 anchors = np.zeros(len(owner), bool)
                 anchors[own[keep]] = True
                 head, tail, line, anchor = _chains(exact, owner, size, least)
                 chain = anchors[anchor]
-                whole = is_hot(line_hash)
+                whole = test_bits(bitmap, line_hash)
                 head = np.concatenate((own[keep], head[chain], line_head[whole]))
                 tail = np.concatenate((own[keep] + 1, tail[chain], line_tail[whole]))
                 line = np.concatenate((exact[own[keep]], line[chain], line_hash[whole]))

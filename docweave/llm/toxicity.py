@@ -35,7 +35,7 @@ from ._vec import slices
 ALPHABET = 28  #: 0: not a letter, 1-26: a-z, 27: any other letter
 ORDER = 4
 STATES = ALPHABET ** (ORDER - 1)
-CACHE = 100_000
+CACHE = 50_000
 #: What a sign may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "¡": "i", "£": "l"}
 SEPARATORS = set(".-_*~'/\\^`·•")
