@@ -189,26 +189,60 @@ def _without(raw: bytes, drops: list[dict]) -> tuple[str, int]:
     return b"".join(kept).decode(), n
 
 
+def _places(depth: int, least_constant: float, bitmap: bytes | None, but_one: bool = False):
+    """Of lines (leaf, line, n, tokens): hashes k of leaf, place and token of what may be constant
+    beyond the leading tokens, which are the leaf's. Without a bitmap (k, n). With one, the k that it
+    holds of lines that have enough of them to be of a template, and how many those need. but_one:
+    templates of the line without one of its tokens each."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(it, 20_000):
+            leaf, line, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            tokens = pa.concat_arrays([batch.column(3)])
+            off = np.asarray(tokens.offsets)
+            token = tokens.values.to_numpy(zero_copy_only=False)[off[0] : off[-1]].view(np.uint64)
+            size = np.diff(off)
+            row = np.repeat(np.arange(len(size)), size)
+            place = np.arange(len(token)) - np.repeat(off[:-1] - off[0], size)
+            known = token != _WILD
+            heads = np.bincount(row[known & (place < depth)], minlength=len(size))
+            needed = np.maximum(1, np.maximum(4, np.ceil(least_constant * size).astype(np.int64)) - heads)
+            own = np.flatnonzero(known & (place >= depth))
+            row = row[own]
+            k = mix(leaf.view(np.uint64)[row] + mix(token[own] + place[own].astype(np.uint64) * _C[20]))
+            if but_one:
+                whole = leaf.view(np.uint64).copy()
+                np.bitwise_xor.at(whole, row, k)
+                yield pa.RecordBatch.from_arrays([pa.array(line[row]), pa.array(n[row]), pa.array((whole[row] ^ k).view(np.int64))], names=["line", "n", "template"])
+            elif bitmap is None:
+                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(n[row])], names=["k", "n"])
+            else:
+                hit = test_bits(bitmap, k)
+                enough = np.bincount(row[hit], minlength=len(size)) >= needed
+                hit &= enough[row]
+                row, k = row[hit], k[hit]
+                yield pa.RecordBatch.from_arrays([pa.array(leaf[row]), pa.array(line[row]), pa.array(n[row]), pa.array(needed[row]), pa.array(k.view(np.int64))], names=["leaf", "line", "n", "needed", "k"])
+
+    return run
+
+
 def _templates(lines: DataFrame, found: DataFrame, min_docs: int, depth: int, least_constant: float) -> DataFrame:
     """(line, template, n): of lines (leaf, line, n documents, tokens) those that recur, with the
     recurring template of most documents that they are of."""
-    # the leading tokens are those of the leaf: constant at every level, so only the others are counted
-    tail = F.filter(F.transform("tokens", lambda t, i: F.struct(i.alias("place"), t.alias("token"))), lambda x: (x.place >= depth) & (x.token != int(_WILD)))
-    heads = F.size(F.filter(F.slice("tokens", 1, depth), lambda t: t != int(_WILD)))
-    needed = F.greatest(F.lit(4), F.ceil(least_constant * F.size("tokens"))) - heads
-    places = lines.select("leaf", "line", "n", F.greatest(F.lit(1), needed).cast("int").alias("needed"), F.explode(tail).alias("x")).select("leaf", "line", "n", "needed", "x.place", "x.token", F.xxhash64("leaf", "x.place", "x.token").alias("k"))
-    common = materialise(places.groupBy("k").agg(F.sum("n").alias("docs")).where(F.col("docs") >= min_docs), "common")
-    tagged = skew_join(places, common, "k", "docs").groupBy("leaf", "line", "n", "needed").agg(F.collect_list(F.struct("docs", "place", "token")).alias("c"), F.max("docs").alias("top"))
-    tagged = tagged.where(F.size("c") >= F.col("needed"))
+    lines = lines.select("leaf", "line", "n", "tokens")
+    common = lines.mapInArrow(_places(depth, least_constant, None), "k long, n long").groupBy("k").agg(F.sum("n").alias("docs"))
+    common = materialise(common.where(F.col("docs") >= min_docs), "common")
+    places = lines.mapInArrow(_places(depth, least_constant, bitmap_of(common, "k", BITS)), "leaf long, line long, n long, needed long, k long")
+    tagged = skew_join(places, common, "k", "docs").groupBy("leaf", "line", "n", "needed").agg(F.collect_list(F.struct("docs", "k")).alias("c"), F.max("docs").alias("top"))
     levels = F.sequence(F.lit(0), F.floor(F.log(4.0, F.col("top") / min_docs) + 1e-9).cast("int"))
     # what is constant at each level: min_docs documents, four times as many, and so on
-    kept = F.transform(levels, lambda j: F.array_sort(F.transform(F.filter("c", lambda x: x.docs >= min_docs * F.pow(F.lit(4.0), j)), lambda x: F.struct(x.place.alias("place"), x.token.alias("token")))))
-    cand = tagged.select("leaf", "line", "n", "needed", F.explode(F.array_distinct(kept)).alias("constants")).where(F.size("constants") >= F.col("needed"))
-    cand = materialise(cand.select("line", "n", F.xxhash64("leaf", "constants").alias("template")), "own")
+    at_level = lambda j: F.filter("c", lambda x: x.docs >= min_docs * F.pow(F.lit(4.0), j))
+    kept = F.transform(levels, lambda j: F.struct(F.size(at_level(j)).alias("size"), F.aggregate(at_level(j), F.col("leaf"), lambda h, x: h.bitwiseXOR(x.k)).alias("template")))
+    cand = tagged.where(F.size("c") >= F.col("needed")).select("line", "n", "needed", F.explode(F.array_distinct(kept)).alias("x"))
+    cand = materialise(cand.where(F.col("x.size") >= F.col("needed")).select("line", "n", "x.template"), "own")
     # a frequent line but for one token is of the template of its rare variants
     often = lines.where(F.col("n") >= min_docs)
-    but_one = often.select("leaf", "line", "n", tail.alias("own"))
-    but_one = but_one.select("line", "n", F.explode(F.transform("own", lambda x: F.xxhash64("leaf", F.filter("own", lambda y: y.place != x.place)))).alias("template"))
+    but_one = often.mapInArrow(_places(depth, least_constant, None, but_one=True), "line long, n long, template long")
     rare = cand.where(F.col("n") < min_docs).select("template").distinct()
     cand = materialise(cand.union(but_one.join(rare, "template", "left_semi").select("line", "n", "template")).distinct(), "templates")
     # a template with a frequent line goes by that line
@@ -238,12 +272,12 @@ def recurring_lines(docs: DataFrame, min_docs: int = 4, depth: int = 3, least_to
     hot = materialise(leaves.groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf"), "leaves")
     found = own.select("text", "key").mapInArrow(_lines(depth, least_tokens, bitmap_of(hot, "leaf", BITS)), "key long, number int, span int, a int, b int, bytes int, after int, is_long boolean, leaf long, line long, tokens array<long>")
     found = materialise(found, "lines")
-    counts = found.select("key", "is_long", "leaf", "line").distinct().groupBy("is_long", "leaf", "line").agg(F.count("*").alias("n"))
-    counts = materialise(counts.where((F.col("n") >= min_docs) | F.col("is_long")), "counts")
+    counts = lambda rows, *by: rows.select("key", *by).distinct().groupBy(*by).agg(F.count("*").alias("n"))
     tokens = found.where("is_long").groupBy("line").agg(F.min("tokens").alias("tokens"))
-    lines = materialise(counts.where("is_long").join(tokens, "line"), "distinct")
+    lines = materialise(counts(found.where("is_long"), "leaf", "line").join(tokens, "line"), "distinct")
+    others = counts(found.where("not is_long"), "line").where(F.col("n") >= min_docs)
     of_long = _templates(lines, found.where("is_long"), min_docs, depth, least_constant)
-    line_of = materialise(of_long.union(counts.where("not is_long").select("line", F.col("line").alias("template"), "n")), "recurring")
+    line_of = materialise(of_long.union(others.select("line", F.col("line").alias("template"), "n")), "recurring")
     unit = ("a", "b", "number", "span", "after", "is_long", "template")
     seen = skew_join(found.select("key", "number", "span", "a", "b", "bytes", "after", "is_long", "line"), line_of, "line", "n")
     per = seen.groupBy("key").agg(F.max("bytes").alias("bytes"), F.array_sort(F.collect_set(F.struct(*unit))).alias("units"))
