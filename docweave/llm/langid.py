@@ -47,7 +47,10 @@ def vectors(texts: list[str], block: int = 1 << 19) -> tuple[np.ndarray, np.ndar
         begin = np.cumsum([1, *(n + 1 for n in low)])
         rows[begin[1:-1]] = 1
         rows = np.cumsum(rows)
-        letter = _LETTER[np.minimum(cp, 0xFFFF)] | (cp > 0xFFFF)
+        letter = _LETTER[np.minimum(cp, 0xFFFF)]
+        if (high := np.flatnonzero(cp > 0xFFFF)).size:
+            kinds, at = np.unique(cp[high], return_inverse=True)
+            letter[high] = np.array([chr(x).isalpha() for x in kinds.tolist()])[at]
         c = np.where(letter, cp, 32).astype(np.uint32)
         mid = np.flatnonzero(letter)
         if not len(mid):
@@ -82,7 +85,7 @@ def vectors(texts: list[str], block: int = 1 << 19) -> tuple[np.ndarray, np.ndar
     return out / np.maximum(norm, 1e-9), some
 
 
-def svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, rounds: int = 40) -> np.ndarray:
+def svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, rounds: int = 80) -> np.ndarray:
     """Weights (bias last) of a linear support vector machine, squared hinge, y in -1, 1.
     Classes count alike. Accelerated gradient steps."""
     n = len(y)
@@ -168,8 +171,9 @@ def identify_language(docs: DataFrame, fit_rows: int = 4000) -> DataFrame:
     Learned from text and non-null lang of rows whose crc32(doc_id) mod 3 is not 1, a hashed
     sample of about fit_rows of them; a prediction depends on text alone. Text that is null
     or has no letter: und, score 0; so is every text if there is nothing to learn from.
-    Repeated rows come out as often as they come in. Columns of docs with those names are
-    replaced."""
+    Very long texts are read whole, in parts. Equal votes go to the greater margin, then to the
+    first language by name. Repeated rows come out as often as they come in. Columns of docs with
+    those names are replaced; docweave_text must not be one of them."""
     learn = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("lang", "text", "doc_id")
     n = learn.select("lang").count()
     chosen = learn.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < min(1.0, fit_rows / max(n, 1)) * 1_000_000)

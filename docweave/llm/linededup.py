@@ -189,16 +189,19 @@ def _without(raw: bytes, drops: list[dict]) -> tuple[str, int]:
     return b"".join(kept).decode(), n
 
 
+_KEYS = ("one", "two", "odd")  #: least and greatest key of a line's documents, and the exclusive or of all: with up to three, all of them
+
+
 def _places(depth: int, least_constant: float, bitmap: bytes | None, but_one: bool = False):
-    """Of lines (leaf, line, n, tokens): hashes k of leaf, place and token of what may be constant
+    """Of lines (leaf, line, n, three of their documents' keys, tokens): hashes k of leaf, place and token of what may be constant
     beyond the leading tokens, which are the leaf's. Without a bitmap (k, n). With one, the k that it
     holds of lines that have enough of them to be of a template, and how many those need. but_one:
     templates of the line without one of its tokens each."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(it, 20_000):
-            leaf, line, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-            tokens = pa.concat_arrays([batch.column(3)])
+            leaf, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 2))
+            tokens = pa.concat_arrays([batch.column(6)])
             off = np.asarray(tokens.offsets)
             token = tokens.values.to_numpy(zero_copy_only=False)[off[0] : off[-1]].view(np.uint64)
             size = np.diff(off)
@@ -213,7 +216,7 @@ def _places(depth: int, least_constant: float, bitmap: bytes | None, but_one: bo
             if but_one:
                 whole = leaf.view(np.uint64).copy()
                 np.bitwise_xor.at(whole, row, k)
-                yield pa.RecordBatch.from_arrays([pa.array(line[row]), pa.array(n[row]), pa.array((whole[row] ^ k).view(np.int64))], names=["line", "n", "template"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(row)) for c in range(1, 6)), pa.array((whole[row] ^ k).view(np.int64))], names=["line", "n", *_KEYS, "template"])
             elif bitmap is None:
                 yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(n[row])], names=["k", "n"])
             else:
@@ -221,37 +224,41 @@ def _places(depth: int, least_constant: float, bitmap: bytes | None, but_one: bo
                 enough = np.bincount(row[hit], minlength=len(size)) >= needed
                 hit &= enough[row]
                 row, k = row[hit], k[hit]
-                yield pa.RecordBatch.from_arrays([pa.array(leaf[row]), pa.array(line[row]), pa.array(n[row]), pa.array(needed[row]), pa.array(k.view(np.int64))], names=["leaf", "line", "n", "needed", "k"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(row)) for c in range(6)), pa.array(needed[row]), pa.array(k.view(np.int64))], names=["leaf", "line", "n", *_KEYS, "needed", "k"])
 
     return run
 
 
-def _templates(lines: DataFrame, found: DataFrame, min_docs: int, depth: int, least_constant: float) -> DataFrame:
-    """(line, template, n): of lines (leaf, line, n documents, tokens) those that recur, with the
-    recurring template of most documents that they are of."""
-    lines = lines.select("leaf", "line", "n", "tokens")
+def _templates(lines: DataFrame, min_docs: int, depth: int, least_constant: float) -> DataFrame:
+    """(line, template, n): of lines (leaf, line, n documents, keys, tokens) those that recur, with
+    the recurring template of most documents that they are of. min_docs is 4 at most: keys are
+    all the documents of a rarer line."""
+    lines = lines.select("leaf", "line", "n", *_KEYS, "tokens")
+    keys = ", ".join(f"{k} long" for k in _KEYS)
     common = lines.mapInArrow(_places(depth, least_constant, None), "k long, n long").groupBy("k").agg(F.sum("n").alias("docs"))
     common = materialise(common.where(F.col("docs") >= min_docs), "common")
-    places = lines.mapInArrow(_places(depth, least_constant, bitmap_of(common, "k", BITS)), "leaf long, line long, n long, needed long, k long")
-    tagged = skew_join(places, common, "k", "docs").groupBy("leaf", "line", "n", "needed").agg(F.collect_list(F.struct("docs", "k")).alias("c"), F.max("docs").alias("top"))
+    places = lines.mapInArrow(_places(depth, least_constant, bitmap_of(common, "k", BITS)), f"leaf long, line long, n long, {keys}, needed long, k long")
+    tagged = skew_join(places, common, "k", "docs").groupBy("leaf", "line", "n", *_KEYS, "needed").agg(F.collect_list(F.struct("docs", "k")).alias("c"), F.max("docs").alias("top"))
     levels = F.sequence(F.lit(0), F.floor(F.log(4.0, F.col("top") / min_docs) + 1e-9).cast("int"))
     # what is constant at each level: min_docs documents, four times as many, and so on
     at_level = lambda j: F.filter("c", lambda x: x.docs >= min_docs * F.pow(F.lit(4.0), j))
     kept = F.transform(levels, lambda j: F.struct(F.size(at_level(j)).alias("size"), F.aggregate(at_level(j), F.col("leaf"), lambda h, x: h.bitwiseXOR(x.k)).alias("template")))
-    cand = tagged.where(F.size("c") >= F.col("needed")).select("line", "n", "needed", F.explode(F.array_distinct(kept)).alias("x"))
-    cand = materialise(cand.where(F.col("x.size") >= F.col("needed")).select("line", "n", "x.template"), "own")
+    cand = tagged.where(F.size("c") >= F.col("needed")).select("line", "n", *_KEYS, "needed", F.explode(F.array_distinct(kept)).alias("x"))
+    cand = materialise(cand.where(F.col("x.size") >= F.col("needed")).select("line", "n", *_KEYS, "x.template"), "own")
     # a frequent line but for one token is of the template of its rare variants
     often = lines.where(F.col("n") >= min_docs)
-    but_one = often.mapInArrow(_places(depth, least_constant, None, but_one=True), "line long, n long, template long")
+    but_one = often.mapInArrow(_places(depth, least_constant, None, but_one=True), f"line long, n long, {keys}, template long")
     rare = cand.where(F.col("n") < min_docs).select("template").distinct()
-    cand = materialise(cand.union(but_one.join(rare, "template", "left_semi").select("line", "n", "template")).distinct(), "templates")
+    cand = materialise(cand.union(but_one.join(rare, "template", "left_semi").select("line", "n", *_KEYS, "template")).distinct(), "templates")
     # a template with a frequent line goes by that line
     frequent = F.max(F.struct("n", "line"))
     sums = cand.groupBy("template").agg(F.sum("n").alias("total"), frequent.alias("top"), F.count("*").alias("n_lines"))
     sums = materialise(sums.select("template", "total", F.col("top.n").alias("most"), F.col("top.line").alias("top"), "n_lines"), "sums")
     some = materialise(sums.where((F.col("most") < min_docs) & (F.col("total") >= min_docs)).select("template", "n_lines"), "some")
-    few = skew_join(cand.select("line", "template"), some, "template", "n_lines").select("line", "template")
-    by_docs = found.select("key", "line").join(few, "line").select("key", "template").distinct().groupBy("template").count().where(F.col("count") >= min_docs).select("template")
+    few = skew_join(cand, some, "template", "n_lines")
+    third = F.col("odd").bitwiseXOR(F.col("one")).bitwiseXOR(F.col("two"))
+    of = F.when(F.col("n") == 1, F.array("one")).when(F.col("n") == 2, F.array("one", "two")).otherwise(F.array(F.col("one"), F.col("two"), third))
+    by_docs = few.select("template", F.explode(of).alias("key")).distinct().groupBy("template").count().where(F.col("count") >= min_docs).select("template")
     good = sums.where(F.col("most") >= min_docs).select("template").union(by_docs).join(sums, "template")
     good = good.select("template", "total", F.when(F.col("most") >= min_docs, F.col("top")).otherwise(F.col("template")).alias("id"), "n_lines")
     of_lines = skew_join(cand.select("line", "n", "template"), materialise(good, "good"), "template", "n_lines")
@@ -267,16 +274,19 @@ def recurring_lines(docs: DataFrame, min_docs: int = 4, depth: int = 3, least_to
 
     key is row_key of doc_id and text, so repeated rows count as one document and null
     ids are safe. Texts without words, or null, have no segments."""
+    if not 2 <= min_docs <= 4:
+        raise ValueError("min_docs is 2 to 4")
     own = docs.select(row_key("doc_id", "text").alias("key"), F.col("text").cast("string"))
     leaves = docs.select(F.col("text").cast("string")).mapInArrow(_lines(depth, least_tokens, None), "leaf long")
     hot = materialise(leaves.groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf"), "leaves")
     found = own.select("text", "key").mapInArrow(_lines(depth, least_tokens, bitmap_of(hot, "leaf", BITS)), "key long, number int, span int, a int, b int, bytes int, after int, is_long boolean, leaf long, line long, tokens array<long>")
     found = materialise(found, "lines")
-    counts = lambda rows, *by: rows.select("key", *by).distinct().groupBy(*by).agg(F.count("*").alias("n"))
+    in_docs = lambda rows, *by: rows.select("key", *by).distinct().groupBy(*by)
+    counted = (F.count("*").alias("n"), F.min("key").alias("one"), F.max("key").alias("two"), F.bit_xor("key").alias("odd"))
     tokens = found.where("is_long").groupBy("line").agg(F.min("tokens").alias("tokens"))
-    lines = materialise(counts(found.where("is_long"), "leaf", "line").join(tokens, "line"), "distinct")
-    others = counts(found.where("not is_long"), "line").where(F.col("n") >= min_docs)
-    of_long = _templates(lines, found.where("is_long"), min_docs, depth, least_constant)
+    lines = materialise(in_docs(found.where("is_long"), "leaf", "line").agg(*counted).join(tokens, "line"), "distinct")
+    others = in_docs(found.where("not is_long"), "line").agg(counted[0]).where(F.col("n") >= min_docs)
+    of_long = _templates(lines, min_docs, depth, least_constant)
     line_of = materialise(of_long.union(others.select("line", F.col("line").alias("template"), "n")), "recurring")
     unit = ("a", "b", "number", "span", "after", "is_long", "template")
     seen = skew_join(found.select("key", "number", "span", "a", "b", "bytes", "after", "is_long", "line"), line_of, "line", "n")
@@ -292,9 +302,7 @@ def recurring_lines(docs: DataFrame, min_docs: int = 4, depth: int = 3, least_to
     held = per.select("class", F.explode(F.array_distinct(F.transform("units", lambda u: u.template))).alias("template")).groupBy("template", "class").agg(F.count("*").alias("n"))
     held = held.groupBy("template").agg(F.sum("n").alias("n_docs"), F.count("*").alias("n_classes"))
     recurs = F.col("n_classes") >= F.floor(F.least(F.lit(min_docs), F.col("n_docs")) + 2 * F.log2(F.col("n_docs") / F.col("n_classes")))
-    # units of a document may be of one template: the weight is that of all rows
-    sizes = per.select(F.explode("units").alias("u")).groupBy("u.template").agg(F.count("*").alias("n"))
-    verdict = materialise(held.where(recurs).select("template", (F.col("n_classes") * 2 >= F.col("n_docs")).alias("in_copies")).join(sizes, "template"), "verdict")
+    verdict = materialise(held.where(recurs).select("template", (F.col("n_classes") * 2 >= F.col("n_docs")).alias("in_copies"), F.col("n_docs").alias("n")), "verdict")
     units = per.select("key", "is_copy", F.explode("units").alias("u")).select("key", "is_copy", "u.number", "u.span", "u.a", "u.b", "u.after", "u.template")
     gone = skew_join(units, verdict, "template", "n").where("in_copies or not is_copy").groupBy("key").agg(F.collect_set(F.struct("number", "span", "a", "b", "after")).alias("drops"))
     return per.select("key", "is_copy").join(gone, "key", "left").where("is_copy or drops is not null")
