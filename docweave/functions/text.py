@@ -6,10 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Scripts counted to tell a language.
-SCRIPTS = {"ar": "[؀-ۿݐ-ݿࢠ-ࣿ]", "ru": "[Ѐ-ӿ]", "zh": "[一-鿿぀-ヿ가-힯]", "en": "[A-Za-z]"}
+SCRIPTS = {"ar": "[\u0600-\u06FF\u0750-\u077F\u08A0-\u08FF]", "ru": "[\u0400-\u04FF]", "zh": "[\u4E00-\u9FFF\u3040-\u30FF\uAC00-\uD7AF]", "en": "[A-Za-z]"}
 #: Fixed value: Arabic letters with their presentation forms.
 ARABIC = "[\u0600-\u06FF\u0750-\u077F\u08A0-\u08FF\uFB50-\uFDFF\uFE70-\uFEFF]"
-KANA, HANGUL = "[぀-ヿ]", "[가-힯]"
+#: Kana and hangul.
+KANA, HANGUL = "[\u3040-\u30FF]", "[\uAC00-\uD7AF]"
 SAMPLE, LEAST = 8000, 8
 RTL = ("ar", "fa", "ur", "he")
 #: What must survive translation, in order of precedence.
