@@ -103,6 +103,11 @@ def erase_rect(b: Box, font_size: Column, page_w: Column, page_h: Column) -> Col
     return pixel_rect(b, page_w, page_h, F.greatest(F.lit(12), (font_size * 0.8).cast("int")), 0.24, 0.30)
 
 
+def stored_erase_rect(b: Box, font_size: Column, page_w: Column, page_h: Column) -> Column:
+    """Of a box kept with its block: tighter than erase_rect."""
+    return pixel_rect(b, page_w, page_h, F.greatest(F.lit(4), (F.coalesce(font_size, F.lit(12)) * 0.4).cast("int")), 0.10, 0.14)
+
+
 def pdf_rect(b: Box, page_h_px: Column, scale: Column) -> Box:
     """Pixels to PDF points; the y axis turns over."""
     return Box(b.x / scale, (page_h_px - b.y - b.h) / scale, b.w / scale, b.h / scale)

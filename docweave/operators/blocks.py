@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import blank, strip
 
 PAGE = ["doc_id", "page_number"]
+#: Kinds of files that are taken.
 EXTENSIONS = ("pdf", "png", "jpg", "jpeg", "tif", "tiff")
 MIME = ("application/pdf", "image/png", "image/jpeg", "image/jpg", "image/tiff")
 
@@ -25,6 +26,10 @@ def translation_targets(blocks: DataFrame, skip_edited: bool = True, ids: list |
     return out.where(F.col("page_number").isin(list(pages))) if pages else out
 
 
+def of_type(blocks: DataFrame, *kinds: str) -> DataFrame:
+    return blocks.where(F.col("layout_type").isin(*kinds))
+
+
 def reading_order(blocks: DataFrame, *tie: str) -> DataFrame:
     """reading_order from 0 on each page, by y, x and the order of emission."""
     return blocks.withColumn("reading_order", F.row_number().over(Window.partitionBy(*PAGE).orderBy("y", "x", *tie)) - 1)
@@ -63,8 +68,8 @@ def review_flags(blocks: DataFrame, source: Column, target: Column, least: float
 
 def apply_updates(blocks: DataFrame, updates: DataFrame, keys: list[str], columns: list[str], version: str) -> DataFrame:
     """blocks with the last update (by version) of each key; updated ones count as edited."""
-    last = updates.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(version)))).where("rank = 1")
-    renamed = last.select(*keys, *(F.col(c).alias(f"new_{c}") for c in columns), F.lit(True).alias("hit"))
+    last = updates.groupBy(*keys).agg(F.max_by(F.struct(*columns), F.col(version)).alias("new"))
+    renamed = last.select(*keys, *(F.col(f"new.{c}").alias(f"new_{c}") for c in columns), F.lit(True).alias("hit"))
     out = blocks.join(renamed, keys, "left")
     out = out.withColumns({c: F.when(F.col("hit"), F.col(f"new_{c}")).otherwise(F.col(c)) for c in columns})
     return out.withColumn("is_edited", F.coalesce("hit", F.lit(False)) | F.col("is_edited")).select(*blocks.columns)

@@ -25,8 +25,8 @@ def match_region(blocks: DataFrame, regions: DataFrame, key: str, least: float =
     """Each block with the region of greatest IoU (least or more; ties: smallest rid):
     page, key, rid, iou, element_type; nulls where none is near enough."""
     pairs = overlap_pairs(blocks, regions).where(F.col("iou") >= least)
-    best = Window.partitionBy(*(F.col(f"l.{c}") for c in PAGE), F.col(f"l.{key}")).orderBy(F.desc("iou"), F.col("r.rid"))
-    top = pairs.withColumn("rank", F.row_number().over(best)).where("rank = 1").select(*(F.col(f"l.{c}") for c in PAGE), F.col(f"l.{key}"), "r.rid", "iou", "r.element_type")
+    best = F.max_by(F.struct("r.rid", "iou", "r.element_type"), F.struct("iou", -F.col("r.rid")))  # partial before the shuffle
+    top = pairs.groupBy(*(F.col(f"l.{c}") for c in PAGE), F.col(f"l.{key}")).agg(best.alias("best")).select(*PAGE, key, "best.*")
     return blocks.select(*PAGE, key).join(top, [*PAGE, key], "left")
 
 

@@ -11,7 +11,7 @@ from ..functions import geometry as G
 from ..functions import style as S
 from ..functions import text as T
 from ..operators import blocks as B
-from ..operators import grouping, quality, spatial, vision
+from ..operators import assembly, display, grouping, quality, spatial, vision
 from ..operators.export import html_export
 from ..sources.fixtures import BLOCKS_SQL, HTML_SQL, PAGE_H, PAGE_W, REGIONS_SQL, blocks, html_regions, regions, table
 from ..streaming.progress import latest
@@ -164,16 +164,7 @@ def protect_tokens(spark, sf_dir):
 
 @query(f"WITH {BLOCKS_SQL}, w AS (SELECT doc_id, i, x, width, list_filter(regexp_split_to_array(original_text, '\\s+'), lambda t: t <> '') AS ws FROM fx_blocks), e AS (SELECT doc_id, i, x, width, unnest(ws) AS word, unnest(range(len(ws))) AS k, len(ws) AS n FROM w), g AS (SELECT *, length(word) * 100 + CASE WHEN k < n - 1 THEN 35 ELSE 0 END AS wt FROM e) SELECT doc_id, i, k::INT AS k, word, round(x + width * coalesce(sum(wt) OVER (PARTITION BY doc_id, i ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / sum(wt) OVER (PARTITION BY doc_id, i), 6) AS x, round(width * wt / sum(wt) OVER (PARTITION BY doc_id, i), 6) AS w FROM g")
 def word_boxes(spark, sf_dir):
-    # words by window, not by array: linear in the words of a line however long it is; weights in
-    # hundredths, so that sums are exact
-    from pyspark.sql import Window
-
-    b = blocks(spark, sf_dir).withColumn("ws", T.tokens(F.col("original_text")))
-    e = b.select("doc_id", "i", "x", "width", F.size("ws").alias("n"), F.posexplode("ws").alias("k", "word"))
-    e = e.withColumn("wt", F.length("word") * 100 + F.when(F.col("k") < F.col("n") - 1, 35).otherwise(0))
-    line = Window.partitionBy("doc_id", "i")
-    before = F.coalesce(F.sum("wt").over(line.orderBy("k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return e.select("doc_id", "i", "k", "word", F.round(F.col("x") + F.col("width") * before / F.sum("wt").over(line), 6).alias("x"), F.round(F.col("width") * F.col("wt") / F.sum("wt").over(line), 6).alias("w"))
+    return assembly.word_places(blocks(spark, sf_dir), KEYS, "original_text")
 
 
 @query("SELECT doc_id, source, n_chars, (len(string_split(text, chr(10))))::INT AS n_lines, substring(sha256(text), 1, 16) AS content_hash FROM documents")
@@ -388,8 +379,78 @@ def erase_rects(spark, sf_dir):
 @query()
 def glossary_wrap(spark, sf_dir):
     """Terms are the longer words of the benchmark's items: a small list whose size is checked."""
-    words = table(spark, sf_dir, "benchmark").select(F.explode(T.tokens(F.lower("text"))).alias("term")).where(F.length("term") >= 10).groupBy("term").count().orderBy(F.desc("count"), "term").limit(20)  # the 20 most frequent terms
+    words = table(spark, sf_dir, "benchmark").select(F.explode(T.tokens(F.lower("text"))).alias("term")).where(F.length("term") >= 10).groupBy("term").count().select("term")  # all of them
     terms = words.agg(F.collect_list(F.struct("term", F.upper("term").alias("translation"))).alias("terms"))
     docs = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("text")).join(F.broadcast(terms))
     w = docs.select("doc_id", "text", T.wrap_terms(F.col("text"), F.col("terms")).alias("w"))
     return w.select("doc_id", F.size("w.used").alias("n_terms"), T.unwrap_terms(F.col("w.text"), F.col("w.used")).alias("text"))
+
+
+_BUILT = "fx_built AS (SELECT doc_id, page_number, y AS line, string_agg(trim(original_text), ' ' ORDER BY x, i) AS text, avg(confidence) AS confidence, min(x) AS x, min(y) AS y, max(x + width) - min(x) AS width, max(y + height) - min(y) AS height FROM fx_blocks GROUP BY doc_id, page_number, line)"
+
+
+def _built(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = blocks(spark, sf_dir).withColumn("line", F.col("y"))
+    return assembly.build_lines(b, ["doc_id", "page_number", "line"], ["x", "i"], "original_text")
+
+
+@query(f"WITH {BLOCKS_SQL}, {_BUILT} SELECT doc_id, page_number, line, text, round(confidence, 6) AS confidence, x, y, width, height FROM fx_built")
+def line_build(spark, sf_dir):
+    return _built(spark, sf_dir).withColumn("confidence", F.round("confidence", 6))
+
+
+@query(f"WITH {BLOCKS_SQL}, {_BUILT}, p AS (SELECT doc_id, page_number, string_agg(text, ' ' ORDER BY line) AS text, avg(confidence) AS c, count(*) AS n_lines, min(x) AS x, min(y) AS y, max(x + width) - min(x) AS width, max(y + height) - min(y) AS height FROM fx_built GROUP BY doc_id, page_number) SELECT doc_id, page_number, text, round(c, 6) AS confidence, n_lines, x, y, width, height, round(length(text) + 12 * n_lines + 4 * len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) + 10 * c, 4) AS score FROM p")
+def paragraph_build(spark, sf_dir):
+    p = assembly.build_paragraphs(_built(spark, sf_dir), ["doc_id", "page_number"], ["line"])
+    p = p.withColumn("score", F.round(assembly.paragraph_score(F.col("text"), F.col("n_lines"), F.col("confidence")), 4))
+    return p.withColumn("confidence", F.round("confidence", 6))
+
+
+@query(f"WITH {BLOCKS_SQL} SELECT doc_id, page_number, count(y) AS n, count(DISTINCT y) AS n_distinct FROM fx_blocks GROUP BY ALL HAVING count(y) <> count(DISTINCT y)")
+def duplicate_orders(spark, sf_dir):
+    return assembly.duplicate_orders(blocks(spark, sf_dir), ["doc_id", "page_number"], "y")
+
+
+@query(f"WITH {BLOCKS_SQL} SELECT doc_id, i, k::INT AS k, CASE k WHEN 0 THEN 0 WHEN 1 THEN width WHEN 2 THEN width + height ELSE width + height + font_size END::DOUBLE AS offset_px FROM fx_blocks, range(4) r(k)")
+def cell_offsets(spark, sf_dir):
+    sizes = F.array(*(F.col(c).cast("double") for c in ("width", "height", "font_size")))
+    return blocks(spark, sf_dir).select("doc_id", "i", F.posexplode(assembly.running_offsets(sizes)).alias("k", "offset_px"))
+
+
+@query(ORACLES["erase_rects"].replace(_ERASE, "greatest(4, trunc(font_size * 0.4::DOUBLE))").replace("0.24::DOUBLE", "0.10::DOUBLE").replace("0.30::DOUBLE", "0.14::DOUBLE"))
+def stored_erase_rects(spark, sf_dir):
+    r = G.stored_erase_rect(G.box(), F.col("font_size"), F.lit(PAGE_W), F.lit(PAGE_H))
+    return blocks(spark, sf_dir).select("doc_id", "i", r.alias("r")).select("doc_id", "i", "r.*")
+
+
+@query(f"WITH {BLOCKS_SQL} SELECT doc_id, i, round(coalesce(translation_confidence, confidence) * 100)::INT || '%' AS shown, coalesce(round(translation_confidence * 100)::INT || '%', '0%') AS qa, x * 1.5::DOUBLE AS x, y * 1.5::DOUBLE AS y, width * 1.5::DOUBLE AS width, height * 1.5::DOUBLE AS height, font_size * 1.5::DOUBLE AS font_size FROM fx_blocks")
+def shown_blocks(spark, sf_dir):
+    own = display.on_screen(G.box(), F.col("font_size"), 1.5)
+    return blocks(spark, sf_dir).select("doc_id", "i", display.shown_confidence(F.col("translation_confidence"), F.col("confidence")).alias("shown"), display.percent(F.col("translation_confidence")).alias("qa"), *(c.cast("double").alias(n) for n, c in own.items()))
+
+
+@query("WITH w AS (SELECT doc_id, string_split(text, chr(10)) AS w FROM documents) SELECT doc_id, len(list_filter(w, lambda x: regexp_matches(x, '(?i)failed|error|timeout|not installed|unavailable')))::INT AS n_failures, len(list_filter(w, lambda x: NOT regexp_matches(x, '(?i)failed|error|timeout|not installed|unavailable')))::INT AS n_others FROM w")
+def warning_kinds(spark, sf_dir):
+    w = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("w"))
+    return w.select("doc_id", F.size(display.failures(F.col("w"))).alias("n_failures"), F.size(display.other_warnings(F.col("w"))).alias("n_others"))
+
+
+@query(f"WITH {BLOCKS_SQL}, b AS (SELECT * FROM fx_blocks WHERE i > 0), n AS (SELECT doc_id, max(contains(original_text, 'License')) AS marked, count(*) FILTER (page_number = 1) AS first FROM b GROUP BY doc_id), m AS (SELECT doc_id, count(*) FILTER (page_number > 1) AS later FROM b GROUP BY doc_id) SELECT d.doc_id, (d.doc_id % 2 = 0 AND coalesce(first, 0) = 0 AND coalesce(later, 0) = 0) OR coalesce(marked, false) AS needs_reading FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)")
+def needs_reading(spark, sf_dir):
+    pages = table(spark, sf_dir, "documents").select("doc_id", F.lit(1).alias("page_number"), F.when(F.col("doc_id") % 2 == 1, "page.png").alias("raster_path"))
+    return display.needs_reading(pages, blocks(spark, sf_dir).where("i > 0"), mark="License")
+
+
+@query(f"WITH {BLOCKS_SQL} SELECT doc_id, coalesce(max(CASE WHEN page_number = 2 THEN 2 END), min(page_number))::INT AS page_number FROM fx_blocks GROUP BY doc_id")
+def page_or_first(spark, sf_dir):
+    return display.page_or_first(blocks(spark, sf_dir), 2)
+
+
+@query("SELECT doc_id, n_chars, CASE WHEN n_chars < 1024 THEN n_chars || ' B' WHEN n_chars < 1048576 THEN round(n_chars / 1024, 1)::DOUBLE::VARCHAR || ' KB' ELSE round(n_chars / 1048576, 1)::DOUBLE::VARCHAR || ' MB' END AS size FROM documents ORDER BY n_chars DESC, doc_id LIMIT 6")
+def recent_documents(spark, sf_dir):
+    return display.recent(table(spark, sf_dir, "documents").select("doc_id", "n_chars", display.byte_text(F.col("n_chars")).alias("size")), "n_chars", "doc_id")
+
+
+@query(f"WITH {BLOCKS_SQL} SELECT doc_id, i, layout_type FROM fx_blocks WHERE layout_type = 'heading'")
+def blocks_of_type(spark, sf_dir):
+    return B.of_type(blocks(spark, sf_dir), "heading").select("doc_id", "i", "layout_type")

@@ -35,24 +35,19 @@ def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = blocks(spark, sf_dir).select("doc_id", "page_number", "i", "x", "y", "width", "height", "layout_type")
     i = F.col("i")
 
-    def rows(rid, dx, dy, kind, where=None):
-        t = b if where is None else b.where(where)
-        return t.select("doc_id", "page_number", rid.cast("int").alias("rid"), (F.col("x") + dx).cast("int").alias("x"), (F.col("y") + dy).cast("int").alias("y"), "width", "height", kind.alias("element_type"))
-
-    pages = b.select("doc_id", "page_number").distinct()
-    fixed = lambda rid, x, y, w, h, kind: [F.lit(v).alias(n) for v, n in zip((rid, x, y, w, h, kind), ("rid", "x", "y", "width", "height", "element_type"))]
-    parts = [
-        rows(i, (i % 5) * 12, (i % 5) * 5, F.col("layout_type")),
-        pages.where("page_number % 2 = 1").select("doc_id", "page_number", *fixed(100000, 40, 40, 532, 700, "figure")),
-        pages.where("page_number % 5 = 0").select("doc_id", "page_number", *fixed(100001, 320, 40, 252, 220, "table")),
-        rows(200000 + i, F.lit(2), F.lit(1), F.lit("list"), i % 3 == 0),
-        rows(300000 + i, (i % 5) * 12, (i % 5) * 5, F.lit("quote"), i % 4 == 1),
-        rows(400000 + i, F.lit(1), F.lit(0), F.lit("table"), i % 10 == 9),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    def one(rid, x, y, w, h, kind):
+        return F.struct(rid.cast("int").alias("rid"), x.cast("int").alias("x"), y.cast("int").alias("y"), w.cast("int").alias("width"), h.cast("int").alias("height"), kind.alias("element_type"))
+
+    def of_block(rid, dx, dy, kind):
+        return one(rid, F.col("x") + dx, F.col("y") + dy, F.col("width"), F.col("height"), kind)
+
+    own = F.array_compact(F.array(  # one pass over the blocks
+        of_block(i, (i % 5) * 12, (i % 5) * 5, F.col("layout_type")), F.when(i % 3 == 0, of_block(200000 + i, F.lit(2), F.lit(1), F.lit("list"))),
+        F.when(i % 4 == 1, of_block(300000 + i, (i % 5) * 12, (i % 5) * 5, F.lit("quote"))), F.when(i % 10 == 9, of_block(400000 + i, F.lit(1), F.lit(0), F.lit("table")))))
+    page, fixed = F.col("page_number"), lambda *v: one(*map(F.lit, v))
+    of_page = F.array_compact(F.array(F.when(page % 2 == 1, fixed(100000, 40, 40, 532, 700, "figure")), F.when(page % 5 == 0, fixed(100001, 320, 40, 252, 220, "table"))))
+    pages = b.select("doc_id", "page_number").distinct().select("doc_id", "page_number", F.explode(of_page).alias("r"))
+    return b.select("doc_id", "page_number", F.explode(own).alias("r")).union(pages).select("doc_id", "page_number", "r.*")
 
 
 def html_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
