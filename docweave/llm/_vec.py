@@ -125,14 +125,15 @@ def _parts(text: bytes, size: int = BLOCK) -> Iterator[tuple[int, int]]:
 
 def word_hashes(texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words in order, and bounds: text i has words bounds[i]:bounds[i+1]."""
-    if len(texts) == 1 and len(texts[0]) > BLOCK:
-        found = [word_hashes([texts[0][a:b]])[0] for a, b in _parts(texts[0])]
-        h = np.concatenate(found)
-        return h, np.array([0, len(h)])
-    buf = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-    starts, ends = spans(buf)
+    raw = b"\n".join(texts)
+    starts, hashes = [], []
+    for at, to in _parts(raw):  # one, but for a long text
+        buf = np.frombuffer(raw[at:to] + b"\n", np.uint8)
+        own, _ = spans(buf)
+        starts.append(own + at)
+        hashes.append(hash_words(buf, own))
     begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
-    return hash_spans(buf, starts, ends), np.searchsorted(starts, begins)
+    return np.concatenate(hashes), np.searchsorted(np.concatenate(starts), begins)
 
 
 def table(members: Iterable[int]) -> np.ndarray:

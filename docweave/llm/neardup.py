@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialise
+from ._common import materialise, skew_join
 from ._vec import batches, mix, shingle_sets, slices
 from .components import components
 
@@ -125,8 +125,8 @@ def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
     of the first n - ceil(n * percent / 100) + 1. Rarest first leaves out the passages that
     many documents share, and the edits that each near copy has for itself pair with nothing."""
     each = sets.select("id", F.size("set").alias("n"), F.explode("set").alias("key"))
-    shared = each.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
-    own = each.join(shared, "key").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("of"))
+    shared = materialise(each.groupBy("key").agg(F.count("*").alias("df")).where("df > 1"), "shared")
+    own = skew_join(each, shared, "key", "df").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("of"))
     alone = F.col("n") - F.size("of")  # shingles that no other set has come first and pair with nothing
     length = F.greatest(F.lit(0), F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - alone).cast("int")
     placed = own.select("id", "n", alone.alias("alone"), F.posexplode(F.slice("of", F.lit(1), length)).alias("at", "of"))
@@ -184,7 +184,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = linked.join(classes.select(F.col("rep").alias("doc_id"), F.col("n_shingles").alias("n_rep")), "doc_id").where("n_shingles = n_rep")
     members = reps.select(F.explode("bands").alias("key"), F.col("doc_id").alias("id"))
     buckets = members.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last"), F.count("*").alias("size")).where("hub < last")
-    members = materialise(members.join(buckets, "key").select("key", "id", "hub", "size"), "members")
+    members = materialise(skew_join(members, materialise(buckets, "buckets"), "key", "size").select("key", "id", "hub", "size"), "members")
 
     involved = members.select("id").distinct()
     sets = materialise(own.join(involved, own.doc_id == involved.id, "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(k), "id long, set array<long>"), "sets")
@@ -196,8 +196,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # pairs of a bucket that lie in different components
     placed = members.join(found, "id", "left").select("key", "id", "size", F.coalesce("component", "id").alias("component"))
-    open_keys = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y and x is not null").select("key")
-    left = placed.join(open_keys, "key", "left_semi").where("size > 2")
+    open_keys = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).where("x < y and x is not null").select("key", "n")
+    left = skew_join(placed, materialise(open_keys, "open"), "key", "n").where("size > 2")
     left = materialise(left.groupBy("id").agg(F.first("component").alias("component")), "left")
     shared = materialise(_prefixes(sets.join(left.select("id"), "id", "left_semi"), percent).join(left, "id"), "prefixes")
     low = shared.groupBy("key").agg(F.min("n").alias("low"))

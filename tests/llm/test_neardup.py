@@ -89,3 +89,16 @@ def test_sql_form(spark, sf):
     c = duckdb.connect()
     c.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
     assert sorted(map(tuple, op3_minhash_near_dedup(spark, sf).collect())) == sorted(c.sql(NEAR_SQL).fetchall())
+
+
+def test_word_hashes_of_long_texts(words):
+    from docweave.llm import _vec
+
+    text = words(120_000, 5).encode()  # longer than several blocks, cut inside words but for care
+    assert len(text) > 3 * _vec.BLOCK
+    h, b = _vec.word_hashes([text])
+    each = np.concatenate([_vec.word_hashes([w])[0] for w in text.split()[:2000]])
+    assert b.tolist() == [0, 120_000] and (h[:2000] == each).all()
+    h2, b2 = _vec.word_hashes([b"a b", text, b"", b"c"])
+    assert b2.tolist() == [0, 2, 120_002, 120_002, 120_003] and (h2[2:-1] == h).all()
+    assert _vec.word_hashes([b"x" * (2 * _vec.BLOCK)])[1].tolist() == [0, 1]
