@@ -87,12 +87,20 @@ def provider_box(v: Column, is_corners: Column) -> Box:
     return Box(F.greatest(n[0], F.lit(0.0)), F.greatest(n[1], F.lit(0.0)), F.greatest(w, F.lit(1.0)), F.greatest(h, F.lit(1.0)))
 
 
+def clamp_rect(x1: Column, y1: Column, x2: Column, y2: Column, page_w: Column, page_h: Column) -> Column:
+    """Whole-number corners (truncated) inside the page; a rect that lies outside comes out turned over."""
+    return F.struct(F.greatest(x1.cast("int"), F.lit(0)).alias("x1"), F.greatest(y1.cast("int"), F.lit(0)).alias("y1"), F.least(x2.cast("int"), page_w.cast("int")).alias("x2"), F.least(y2.cast("int"), page_h.cast("int")).alias("y2"))
+
+
 def pixel_rect(b: Box, page_w: Column, page_h: Column, pad: Column | int = 0, expand_x: float = 0.0, expand_y: float = 0.0) -> Column:
-    """Whole-number corners x1, y1, x2, y2 of a padded box inside the page (truncated)."""
-    ex, ey = b.w * expand_x, b.h * expand_y
-    x1, y1 = F.greatest((b.x - pad - ex).cast("int"), F.lit(0)), F.greatest((b.y - pad - ey).cast("int"), F.lit(0))
-    x2, y2 = F.least((b.x + b.w + pad + ex).cast("int"), page_w.cast("int")), F.least((b.y + b.h + pad + ey).cast("int"), page_h.cast("int"))
-    return F.struct(x1.alias("x1"), y1.alias("y1"), F.greatest(x2, x1).alias("x2"), F.greatest(y2, y1).alias("y2"))
+    """x1, y1, x2, y2 of a box inside the page, wider on each side by pad or by its share, whichever is more."""
+    pad = F.lit(pad) if isinstance(pad, int) else pad
+    ex, ey = F.greatest(pad, b.w * expand_x), F.greatest(pad, b.h * expand_y)
+    return clamp_rect(b.x - ex, b.y - ey, b.x + b.w + ex, b.y + b.h + ey, page_w, page_h)
+
+
+def padded_rects(rects: Column, page_w: Column, page_h: Column, pad: int = 6) -> Column:
+    return F.transform(rects, lambda r: clamp_rect(r["x1"] - pad, r["y1"] - pad, r["x2"] + pad, r["y2"] + pad, page_w, page_h))
 
 
 def rect_area(r: Column) -> Column:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import blank, strip
+from ..functions.style import TEXT_REGIONS
+from ..functions.text import blank, detect_language, strip
 
 PAGE = ["doc_id", "page_number"]
 #: Kinds of files that are taken.
@@ -95,3 +96,41 @@ def born_digital(spans: DataFrame, doc: str = "doc_id", page: str = "page_number
     pages = spans.groupBy(doc, page).agg(F.count("*").alias("n"), F.sum(F.length(text)).alias("chars"))
     good = ((F.col("n") >= least_spans) & (F.col("chars") >= least_chars)).cast("int")
     return pages.groupBy(doc).agg(F.count("*").alias("pages"), F.sum(good).alias("good_pages")).withColumn("born_digital", F.col("good_pages") >= F.greatest(F.lit(1), F.floor(F.col("pages") / 2)))
+
+
+def pages_of(rows: DataFrame, pages: list[int] | None) -> DataFrame:
+    """Rows of the given pages; none given: all."""
+    return rows.where(F.col("page_number").isin(list(pages))) if pages else rows
+
+
+def text_regions(regions: DataFrame) -> DataFrame:
+    return regions.where(F.col("element_type").isin(*TEXT_REGIONS))
+
+
+def paint_order(blocks: DataFrame, *tie: str) -> DataFrame:
+    """paint_order from 0 on each page: lower layers first, then reading order."""
+    return blocks.withColumn("paint_order", F.row_number().over(Window.partitionBy(*PAGE).orderBy("z_index", "reading_order", *tie)) - 1)
+
+
+def batch_failures(translated: DataFrame) -> DataFrame:
+    """doc_id, blocks, failed: blocks whose translation failed, summed over a document's batches."""
+    return translated.groupBy("doc_id").agg(F.count("*").alias("blocks"), F.sum(F.col("failed").cast("int")).alias("failed"))
+
+
+def qa_sample(blocks: DataFrame, order: list[str], id_col: str, share: float = 0.2, least: int = 3) -> DataFrame:
+    """A reproducible share of each document's blocks; where it takes none, the first few."""
+    hit = F.pmod(F.xxhash64("doc_id", id_col), F.lit(1000)) < int(share * 1000)
+    doc = Window.partitionBy("doc_id")
+    own = blocks.withColumn("dw_hit", hit).withColumn("dw_any", F.max("dw_hit").over(doc)).withColumn("dw_n", F.row_number().over(doc.orderBy(*order)))
+    return own.where(F.col("dw_hit") | (~F.col("dw_any") & (F.col("dw_n") <= least))).drop("dw_hit", "dw_any", "dw_n")
+
+
+def document_language(blocks: DataFrame, order: list[str], text: str = "original_text") -> DataFrame:
+    """doc_id, language of the texts of its blocks in order, a line each."""
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, F.coalesce(text, F.lit("")).alias("dw_t")))), lambda s: s["dw_t"]), "\n")
+    return blocks.groupBy("doc_id").agg(joined.alias("t")).select("doc_id", detect_language(F.col("t")).alias("language"))
+
+
+def rebuilt_share(pages: DataFrame) -> DataFrame:
+    """doc_id, rebuilt, page_count: pages that have a translated raster, of all."""
+    return pages.groupBy("doc_id").agg(F.count("translated_path").alias("rebuilt"), F.count("*").alias("page_count"))

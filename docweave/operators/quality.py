@@ -60,6 +60,24 @@ def stage_timings(events: DataFrame, doc: str, stage: str, elapsed: str) -> Data
     return events.groupBy(doc, stage).agg(F.count("*").alias("runs"), F.round(F.sum(elapsed), 3).alias("total_ms"))
 
 
+def timing_map(events: DataFrame, doc: str, stage: str, elapsed: str, hit: str) -> DataFrame:
+    """One row a document: timings (map of stage to the sum of its times) and cache_hits."""
+    per = events.groupBy(doc, stage).agg(F.round(F.sum(elapsed), 3).alias("ms"), F.sum(F.col(hit).cast("int")).alias("hits"))
+    return per.groupBy(doc).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(stage, "ms")))).alias("timings"), F.sum("hits").alias("cache_hits"))
+
+
+def add_timings(old: Column, new: Column) -> Column:
+    """Maps of times added up by stage."""
+    none = F.create_map().cast("map<string,double>")
+    return F.map_zip_with(F.coalesce(old, none), F.coalesce(new, none), lambda _, a, b: F.coalesce(a, F.lit(0.0)) + F.coalesce(b, F.lit(0.0)))
+
+
+def more_warnings(old: Column, *new: Column) -> Column:
+    """Arrays of warnings one after the other; a null one adds nothing."""
+    none = F.array().cast("array<string>")
+    return F.concat(F.coalesce(old, none), *(F.coalesce(n, none) for n in new))
+
+
 def translation_warnings(stats: DataFrame) -> DataFrame:
     """stats (total, translated, unchanged, failed) with warnings in a fixed order."""
     t, d, u, f = (F.col(c) for c in ("total", "translated", "unchanged", "failed"))

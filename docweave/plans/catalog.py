@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import erase as E
 from ..functions import geometry as G
+from ..functions import prompts as P
 from ..functions import style as S
 from ..functions import text as T
 from ..operators import blocks as B
-from ..operators import assembly, display, grouping, quality, spatial, vision
+from ..operators import assembly, display, grouping, quality, recognised, spatial, vision
 from ..operators.export import html_export
+from ..sources import providers, structure
 from ..sources.fixtures import BLOCKS_SQL, HTML_SQL, PAGE_H, PAGE_W, REGIONS_SQL, blocks, html_regions, regions, table
 from ..streaming.progress import latest
 
@@ -370,7 +373,7 @@ def block_updates(spark, sf_dir):
 _ERASE = "greatest(12, trunc(font_size * 0.8::DOUBLE))"
 
 
-@query(f"WITH {BLOCKS_SQL} SELECT doc_id, i, greatest(trunc(x - {_ERASE} - width * 0.24::DOUBLE), 0)::INT AS x1, greatest(trunc(y - {_ERASE} - height * 0.30::DOUBLE), 0)::INT AS y1, least(trunc(x + width + {_ERASE} + width * 0.24::DOUBLE), 612)::INT AS x2, least(trunc(y + height + {_ERASE} + height * 0.30::DOUBLE), 792)::INT AS y2 FROM fx_blocks")
+@query(f"WITH {BLOCKS_SQL}, e AS (SELECT *, greatest({_ERASE}, width * 0.24::DOUBLE) AS ex, greatest({_ERASE}, height * 0.30::DOUBLE) AS ey FROM fx_blocks) SELECT doc_id, i, greatest(trunc(x - ex), 0)::INT AS x1, greatest(trunc(y - ey), 0)::INT AS y1, least(trunc(x + width + ex), 612)::INT AS x2, least(trunc(y + height + ey), 792)::INT AS y2 FROM e")
 def erase_rects(spark, sf_dir):
     r = G.erase_rect(G.box(), F.col("font_size"), F.lit(PAGE_W), F.lit(PAGE_H))
     return blocks(spark, sf_dir).select("doc_id", "i", r.alias("r")).select("doc_id", "i", "r.*")
@@ -454,3 +457,203 @@ def recent_documents(spark, sf_dir):
 @query(f"WITH {BLOCKS_SQL} SELECT doc_id, i, layout_type FROM fx_blocks WHERE layout_type = 'heading'")
 def blocks_of_type(spark, sf_dir):
     return B.of_type(blocks(spark, sf_dir), "heading").select("doc_id", "i", "layout_type")
+
+
+_CLAMPED = "greatest(trunc({0}), 0)::INT AS x1, greatest(trunc({1}), 0)::INT AS y1, least(trunc({2}), 612)::INT AS x2, least(trunc({3}), 792)::INT AS y2"
+
+
+def _clamped(x1: str, y1: str, x2: str, y2: str) -> str:
+    return _CLAMPED.format(x1, y1, x2, y2)
+
+
+def _rects(b: DataFrame, rects) -> DataFrame:
+    return b.select("doc_id", "i", F.posexplode(rects).alias("k", "r")).select("doc_id", "i", "k", "r.*")
+
+
+def _stored(b: DataFrame) -> DataFrame:
+    """Every second block has a stored box."""
+    own = F.struct(*(F.col(c).cast("double").alias(c) for c in ("x", "y", "width", "height")))
+    return b.withColumn("boxes", F.when(F.col("i") % 2 == 1, F.array(own)).otherwise(F.slice(F.array(own), 1, 0)))
+
+
+@query(f"WITH {BLOCKS_SQL}, p AS (SELECT *, greatest(2, trunc(font_size * 0.22::DOUBLE)) AS pad, greatest(1, trunc(width * 0.02::DOUBLE)) AS dx, greatest(1, trunc(height * 0.06::DOUBLE)) AS dy FROM fx_blocks) SELECT doc_id, i, 0 AS k, {_clamped('CASE WHEN i % 2 = 1 THEN x - pad ELSE x + dx END', 'CASE WHEN i % 2 = 1 THEN y - pad ELSE y + dy END', 'CASE WHEN i % 2 = 1 THEN x + width + pad ELSE x + width - dx END', 'CASE WHEN i % 2 = 1 THEN y + height + pad ELSE y + height - dy END')} FROM p")
+def tight_rects(spark, sf_dir):
+    b = _stored(blocks(spark, sf_dir))
+    return _rects(b, E.tight_rects(F.col("boxes"), G.box(), F.col("font_size"), F.lit(PAGE_W), F.lit(PAGE_H)))
+
+
+@query(f"WITH a AS ({ORACLES['stored_erase_rects']}), b AS ({ORACLES['erase_rects']}) SELECT doc_id, i, 0 AS k, x1, y1, x2, y2 FROM a WHERE i % 2 = 1 UNION ALL SELECT doc_id, i, (i % 2)::INT, x1, y1, x2, y2 FROM b")
+def text_rects(spark, sf_dir):
+    b = _stored(blocks(spark, sf_dir))
+    return _rects(b, E.text_rects(F.col("boxes"), G.box(), F.col("font_size"), F.lit(PAGE_W), F.lit(PAGE_H)))
+
+
+_GRID = "array(array('a', 'b', 'c'), array('d'))"
+_CELLS = "array<struct<x:double,y:double,width:double,height:double,font_size:double>>"
+
+
+@query(f"WITH {BLOCKS_SQL}, g AS (SELECT *, CASE WHEN i % 2 = 0 THEN width / 3::DOUBLE ELSE 50 END AS w0, CASE WHEN i % 2 = 0 THEN width / 3::DOUBLE ELSE 60 END AS w1, width / 3::DOUBLE AS w2, height / 2::DOUBLE AS h FROM fx_blocks), c AS (SELECT *, k % 3 AS c, k // 3 AS r, CASE k % 3 WHEN 0 THEN 0 WHEN 1 THEN w0 ELSE w0 + w1 END AS dx, CASE k % 3 WHEN 0 THEN w0 WHEN 1 THEN w1 ELSE w2 END AS cw FROM g, range(6) t(k)) SELECT doc_id, i, k::INT AS k, {_clamped('x + dx + 3', 'y + r * h + 3', 'x + dx + cw - 3', 'y + (r + 1) * h - 3')} FROM c")
+def table_grid_rects(spark, sf_dir):
+    widths = F.when(F.col("i") % 2 == 1, F.array(F.lit(50.0), F.lit(60.0)))
+    r = E.table_rects(F.array().cast(_CELLS), F.expr(_GRID), G.box(), F.lit(PAGE_W), F.lit(PAGE_H), widths)
+    return _rects(blocks(spark, sf_dir), r)
+
+
+@query(f"WITH {BLOCKS_SQL}, p AS (SELECT *, greatest(4, trunc(font_size * 0.35::DOUBLE)) AS pad FROM fx_blocks), q AS (SELECT doc_id, i, {_clamped('x - greatest(pad, width * 0.05::DOUBLE)', 'y - greatest(pad, height * 0.10::DOUBLE)', 'x + width + greatest(pad, width * 0.05::DOUBLE)', 'y + height + greatest(pad, height * 0.10::DOUBLE)')} FROM p) SELECT doc_id, i, 0 AS k, x1 + 3 AS x1, y1 + 3 AS y1, x2 - 3 AS x2, y2 - 3 AS y2 FROM q")
+def table_cell_rects(spark, sf_dir):
+    cells = F.array(F.struct("x", "y", "width", "height", "font_size")).cast(_CELLS)
+    return _rects(blocks(spark, sf_dir), E.table_rects(cells, F.expr(_GRID), G.box(), F.lit(PAGE_W), F.lit(PAGE_H)))
+
+
+@query(f"WITH {BLOCKS_SQL} SELECT doc_id, i, k::INT AS k, {_clamped('x + k % 3 * (width / 3::DOUBLE) + 4', 'y + k // 3 * (height / 2::DOUBLE) + 4', 'x + (k % 3 + 1) * (width / 3::DOUBLE) - 4', 'y + (k // 3 + 1) * (height / 2::DOUBLE) - 4')} FROM fx_blocks, range(6) t(k)")
+def cell_insides(spark, sf_dir):
+    return _rects(blocks(spark, sf_dir), E.cell_rects(F.array().cast(_CELLS), F.expr(_GRID), G.box(), F.lit(PAGE_W), F.lit(PAGE_H)))
+
+
+@query(f"WITH {BLOCKS_SQL} SELECT doc_id, i, 0 AS k, {_clamped('x - 60', 'y - 60', 'x + width + 60', 'y + height + 60')} FROM fx_blocks")
+def padded_rects(spark, sf_dir):
+    b = blocks(spark, sf_dir)
+    whole = F.array(F.struct(F.col("x").alias("x1"), F.col("y").alias("y1"), (F.col("x") + F.col("width")).alias("x2"), (F.col("y") + F.col("height")).alias("y2")))
+    return _rects(b, G.padded_rects(whole, F.lit(PAGE_W), F.lit(PAGE_H), 60))
+
+
+@query(f"WITH {BLOCKS_SQL} SELECT doc_id, i, x::DOUBLE AS x, y::DOUBLE AS y, CASE WHEN i % 2 = 0 THEN width ELSE 5 END::DOUBLE AS width, height::DOUBLE AS height FROM fx_blocks")
+def span_boxes(spark, sf_dir):
+    x, y, w, h = (F.col(c).cast("double") for c in ("x", "y", "width", "height"))
+    corners = F.when(F.col("i") % 2 == 0, F.array(x, y, x + w, y + h)).otherwise(F.array(x, y, F.lit(5.0), h))
+    return blocks(spark, sf_dir).select("doc_id", "i", E.span_box(corners).alias("b")).select("doc_id", "i", "b.*")
+
+
+@query(f"WITH {BLOCKS_SQL} SELECT doc_id, i, CASE WHEN i % 2 = 0 THEN font_size::DOUBLE ELSE round(({SIZE})::DECIMAL(20,15), 1)::DOUBLE END AS font_size, CASE WHEN i % 2 = 0 THEN 'bold' WHEN layout_type = 'heading' THEN 'bold' ELSE 'normal' END AS font_weight, 'Foo' AS font_family, '#000000' AS color, 'italic' AS font_style FROM fx_blocks")
+def span_styles(spark, sf_dir):
+    even = F.col("i") % 2 == 0
+    span = F.struct(F.when(even, F.col("font_size").cast("double")).alias("font_size"), F.when(even, "bold").alias("font_weight"), F.lit("Foo").alias("font_family"), F.lit(None).cast("string").alias("color"), F.lit("italic").alias("font_style"))
+    style = S.span_style(S.infer_style(G.box(), F.col("layout_type"), PAGE_W, F.lit("en")), span)
+    return blocks(spark, sf_dir).select("doc_id", "i", *(style[k].alias(k) for k in ("font_size", "font_weight", "font_family", "color", "font_style")))
+
+
+@query("SELECT doc_id, CASE lang WHEN 'en' THEN 'English' WHEN 'es' THEN 'Spanish' WHEN 'fr' THEN 'French' WHEN 'de' THEN 'German' WHEN 'it' THEN 'Italian' WHEN 'pt' THEN 'Portuguese' WHEN 'nl' THEN 'Dutch' WHEN 'pl' THEN 'Polish' WHEN 'ru' THEN 'Russian' WHEN 'ar' THEN 'Arabic' WHEN 'zh' THEN 'Chinese' WHEN 'ja' THEN 'Japanese' WHEN 'ko' THEN 'Korean' WHEN 'hi' THEN 'Hindi' WHEN 'tr' THEN 'Turkish' ELSE lang END AS label, CASE WHEN doc_id % 3 = 0 THEN 'Foo' WHEN lang IN ('ar', 'fa', 'ur', 'he') THEN 'DecoType Naskh' ELSE 'Helvetica' END AS font, lang IN ('en', 'fr') AS installed FROM documents")
+def language_names(spark, sf_dir):
+    there = F.array(F.lit("en"), F.lit("fr:latest"), F.lit("deu"))
+    asked = F.when(F.col("doc_id") % 3 == 0, "Foo")
+    return table(spark, sf_dir, "documents").select("doc_id", P.language_label(F.col("lang")).alias("label"), P.font_for(asked, F.col("lang")).alias("font"), P.model_installed(F.col("lang"), there).alias("installed"))
+
+
+@query(f"WITH {HTML_SQL} SELECT page_id, string_agg(element_type || '@40,' || y, ', ' ORDER BY k) AS regions FROM fx_html WHERE k < 20 GROUP BY page_id")
+def region_summary(spark, sf_dir):
+    r = html_regions(spark, sf_dir).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("k", "element_type", "x", "y"))).alias("r"))
+    return r.select("page_id", P.region_summary(F.col("r")).alias("regions"))
+
+
+def _paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with recognised paragraphs; those of even blocks have two lines without words."""
+    place = [F.col(c).cast("double").alias(c) for c in ("x", "y", "width", "height")]
+    text = F.col("original_text")
+    line = lambda t: F.struct(t.alias("text"), F.col("confidence"), *place, F.array().cast(f"array<{recognised.WORD}>").alias("words"))
+    lines = F.when(F.col("i") % 2 == 0, F.array(line(F.substring(text, 1, 10)), line(F.substring(text, 11, 1 << 20))))
+    p = F.struct(text.alias("text"), F.col("confidence"), *place, F.col("i").alias("reading_order"), lines.alias("lines")).cast(recognised.PARAGRAPH)
+    b = blocks(spark, sf_dir).select("doc_id", "page_number", "i", p.alias("p"))
+    return b.groupBy("doc_id", "page_number").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "p"))), lambda s: s["p"]).alias("paragraphs"))
+
+
+@query(f"WITH {BLOCKS_SQL} SELECT doc_id, page_number, count(*) AS n_paragraphs, sum(CASE WHEN i % 2 = 0 THEN 2 ELSE 1 END)::BIGINT AS n_lines, sum(i % 2)::BIGINT AS n_words, string_agg(CASE WHEN i % 2 = 0 THEN left(original_text, 10) || '|' || substring(original_text, 11) ELSE original_text END, '|' ORDER BY i) AS texts FROM fx_blocks GROUP BY ALL")
+def recognised_flat(spark, sf_dir):
+    f = _paragraphs(spark, sf_dir).withColumn("f", recognised.flattened(F.col("paragraphs")))
+    size = lambda c: F.size(c).cast("long")
+    return f.select("doc_id", "page_number", size("f.paragraphs").alias("n_paragraphs"), size("f.lines").alias("n_lines"), size("f.words").alias("n_words"), F.array_join(F.col("f.lines.text"), "|").alias("texts"))
+
+
+@query(f"WITH {BLOCKS_SQL}, r AS (SELECT doc_id, i, unnest(CASE WHEN i % 3 = 0 THEN ['run'] WHEN i % 3 = 1 THEN [left(original_text, 10), substring(original_text, 11)] ELSE [original_text] END) AS text, unnest(range(CASE WHEN i % 3 = 1 THEN 2 ELSE 1 END)) AS k, CASE WHEN i % 3 = 2 THEN 1.0 ELSE confidence END AS confidence FROM fx_blocks) SELECT doc_id, i, k::INT AS k, text, confidence::DOUBLE AS confidence FROM r")
+def inline_runs(spark, sf_dir):
+    text, kind = F.col("original_text"), F.col("i") % 3
+    place = F.struct(*(F.col(c).cast("double").alias(c) for c in ("x", "y", "width", "height")))
+    one = lambda t: F.struct(t.alias("text"), F.col("confidence"), *(F.col(c).cast("double").alias(c) for c in ("x", "y", "width", "height")))
+    runs, lines = F.when(kind == 0, F.array(one(F.lit("run")))), F.when(kind == 1, F.array(one(F.substring(text, 1, 10)), one(F.substring(text, 11, 1 << 20))))
+    b = blocks(spark, sf_dir).select("doc_id", "i", F.posexplode(recognised.inline_runs(runs, lines, text, place)).alias("k", "r"))
+    return b.select("doc_id", "i", "k", "r.text", "r.confidence")
+
+
+@query(f"WITH {BLOCKS_SQL} SELECT doc_id, page_number, true AS equal FROM fx_blocks GROUP BY ALL")
+def cache_round_trip(spark, sf_dir):
+    from ..sources.ingest import json_round_trip
+
+    whole = F.struct("page_number", F.lit(612.0).alias("width"), F.lit(792.0).alias("height"), "paragraphs").cast(recognised.RECOGNISED)
+    return _paragraphs(spark, sf_dir).select("doc_id", "page_number", json_round_trip(whole, recognised.RECOGNISED).eqNullSafe(whole).alias("equal"))
+
+
+@query(f"WITH {BLOCKS_SQL}, b AS (SELECT *, CASE WHEN i % 2 = 1 THEN width + 700 ELSE width END AS w, row_number() OVER (PARTITION BY doc_id, page_number ORDER BY i) - 1 AS k FROM fx_blocks) SELECT doc_id, page_number, k::INT AS k, CASE layout_type WHEN 'heading' THEN 'unknown' ELSE layout_type END AS element_type, x::DOUBLE AS x, y::DOUBLE AS y, w::DOUBLE AS width, height::DOUBLE AS height, confidence::DOUBLE AS confidence, trim(original_text) AS text, NULL AS rows FROM b")
+def structure_parse(spark, sf_dir):
+    x, y, w, h = (F.col(c) for c in ("x", "y", "width", "height"))
+    bbox, text = F.when(F.col("i") % 2 == 1, F.array(x, y, x + w + 700, y + h)).otherwise(F.array(x, y, w, h)), F.col("original_text")
+    one = F.struct(F.col("layout_type").alias("label"), bbox.alias("bbox"), F.col("confidence").alias("score"), F.when(F.col("i") % 3 == 0, text).alias("text"), F.when(F.col("i") % 3 != 0, F.struct(text.alias("content"))).alias("res"))
+    pages = blocks(spark, sf_dir).groupBy("doc_id", "page_number").agg(F.to_json(F.struct(F.transform(F.array_sort(F.collect_list(F.struct("i", one.alias("b")))), lambda s: s["b"]).alias("layout"))).alias("content"))
+    found = structure.structure(pages, "content", F.lit(float(PAGE_W)), F.lit(float(PAGE_H)))
+    return found.withColumn("rows", F.to_json("rows"))
+
+
+@query(f"WITH s AS ({ORACLES['sections']}), {HTML_SQL} SELECT page_id, section, max(section_kind) AS section_kind, string_agg(k, ',' ORDER BY y, x, k) AS members FROM s JOIN fx_html USING (page_id, k) GROUP BY page_id, section")
+def section_members(spark, sf_dir):
+    m = vision.section_members(vision.sections(html_regions(spark, sf_dir), ["page_id"], "k"), ["page_id"], "k")
+    return m.select("page_id", "section", "section_kind", F.array_join(F.transform("members", lambda v: v.cast("string")), ",").alias("members"))
+
+
+@query(f"SELECT page_id, k, section FROM ({ORACLES['sections']}) WHERE k % 2 = 0")
+def section_blocks(spark, sf_dir):
+    r = html_regions(spark, sf_dir)
+    m = vision.section_members(vision.sections(r, ["page_id"], "k"), ["page_id"], "k")
+    return vision.blocks_by_section(r.where("k % 2 = 0"), m, ["page_id"], "k").select("page_id", "k", "section")
+
+
+@query(f"WITH {BLOCKS_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_number ORDER BY y, x, i) - 1 AS n, doc_id % 3 <> 0 AS hinted FROM fx_blocks), c AS (SELECT n.*, column_count AS cc, column_index AS ci FROM n JOIN ({ORACLES['columns']}) USING (doc_id, i)) SELECT doc_id, i, CASE WHEN hinted AND n = 0 THEN 0.75 WHEN layout_type = 'heading' THEN 0.9 WHEN layout_type = 'footer' THEN 0.3 ELSE 0.5 END::DOUBLE AS importance, CASE WHEN hinted AND n = 1 THEN 7 WHEN layout_type = 'heading' THEN 1 WHEN layout_type = 'footer' THEN 0 ELSE 3 END AS hierarchy_level, CASE WHEN doc_id % 3 = 1 THEN 2 ELSE cc END AS column_count, CASE WHEN NOT hinted THEN ci WHEN (doc_id % 3 = 1 OR cc > 1) AND x + width / 2 > 306 THEN 1 ELSE 0 END AS column_index FROM c")
+def vision_hints(spark, sf_dir):
+    b = blocks(spark, sf_dir).withColumn("element_type", F.col("layout_type"))
+    note = F.expr("array(named_struct('index', 0, 'importance', 0.25D, 'hierarchy_level', int(null)), named_struct('index', 1, 'importance', double(null), 'hierarchy_level', 7), named_struct('index', 0, 'importance', 0.75D, 'hierarchy_level', int(null)))")
+    hints = b.select("doc_id", "page_number").distinct().where("doc_id % 3 <> 0").withColumns({"column_count": F.when(F.col("doc_id") % 3 == 1, 2), "notes": note})
+    rows = vision.document_map(b, B.PAGE, "i", PAGE_W)
+    return vision.merge_hints(rows, hints, B.PAGE, "i", PAGE_W).select("doc_id", "i", "importance", "hierarchy_level", "column_count", "column_index")
+
+
+@query(f"WITH m AS ({ORACLES['columns']}), {BLOCKS_SQL} SELECT b.doc_id, b.i, m.column_index FROM fx_blocks b LEFT JOIN m ON m.doc_id = b.doc_id AND m.i = b.i AND b.i % 2 = 0")
+def block_vision(spark, sf_dir):
+    b = blocks(spark, sf_dir).withColumn("rid", F.when(F.col("i") % 2 == 0, F.col("i")))
+    found = vision.columns(b.withColumn("rid", F.col("i")), B.PAGE, PAGE_W)
+    return vision.with_vision(b, found, B.PAGE, "rid", ["column_index"]).select("doc_id", "i", "column_index")
+
+
+@query(f"WITH {BLOCKS_SQL}, d AS (SELECT doc_id, string_agg(original_text, chr(10) ORDER BY i) AS text FROM fx_blocks GROUP BY doc_id) {ORACLES['language_detect'].replace('WITH s AS', ', s AS', 1).replace('FROM documents', 'FROM d', 1)}".replace("GROUP BY doc_id) , s", "GROUP BY doc_id), s"))
+def document_language(spark, sf_dir):
+    return B.document_language(blocks(spark, sf_dir), ["i"])
+
+
+@query(f"WITH {BLOCKS_SQL} SELECT doc_id, count(*) AS blocks, sum((i % 5 = 0)::INT)::BIGINT AS failed FROM fx_blocks GROUP BY doc_id")
+def batch_failures(spark, sf_dir):
+    return B.batch_failures(blocks(spark, sf_dir).withColumn("failed", F.col("i") % 5 == 0))
+
+
+@query(f"WITH {BLOCKS_SQL} SELECT doc_id, i, (row_number() OVER (PARTITION BY doc_id, page_number ORDER BY i % 3, y, x, i) - 1)::INT AS paint_order FROM fx_blocks")
+def paint_order(spark, sf_dir):
+    b = B.reading_order(blocks(spark, sf_dir), "i").withColumn("z_index", F.col("i") % 3)
+    return B.paint_order(b, "i").select("doc_id", "i", "paint_order")
+
+
+@query(f"WITH {REGIONS_SQL} SELECT doc_id, page_number, rid FROM fx_regions WHERE element_type <> 'figure' AND page_number IN (1, 3)")
+def text_regions(spark, sf_dir):
+    return B.pages_of(B.text_regions(regions(spark, sf_dir)), [1, 3]).select("doc_id", "page_number", "rid")
+
+
+@query(f"WITH {BLOCKS_SQL}, p AS (SELECT DISTINCT doc_id, page_number FROM fx_blocks) SELECT doc_id, sum(page_number % 2)::BIGINT AS rebuilt, count(*) AS page_count FROM p GROUP BY doc_id")
+def rebuilt_pages(spark, sf_dir):
+    p = blocks(spark, sf_dir).select("doc_id", "page_number").distinct()
+    return B.rebuilt_share(p.withColumn("translated_path", F.when(F.col("page_number") % 2 == 1, "p.png")))
+
+
+@query("WITH p AS (SELECT user_id, event_type, round(sum(value), 3) AS ms, count(*) FILTER (event_id % 2 = 0) AS hits FROM events GROUP BY ALL) SELECT user_id, count(*) AS stages, round(sum(ms), 3) AS total_ms, sum(hits)::BIGINT AS cache_hits, string_agg(event_type, ',' ORDER BY event_type) AS names FROM p GROUP BY user_id")
+def timing_map(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("hit", F.col("event_id") % 2 == 0)
+    t = quality.timing_map(e, "user_id", "event_type", "value", "hit")
+    return t.select("user_id", F.size("timings").cast("long").alias("stages"), F.round(F.aggregate(F.map_values("timings"), F.lit(0.0), lambda a, v: a + v), 3).alias("total_ms"), "cache_hits", F.array_join(F.map_keys("timings"), ",").alias("names"))
+
+
+@query(f"WITH {BLOCKS_SQL} SELECT doc_id, doc_id || '_translated_semantic.txt' AS filename, string_agg(coalesce(nullif(translated_text, ''), original_text), chr(10) ORDER BY page_number, y, x, i) AS content FROM fx_blocks GROUP BY doc_id")
+def text_export(spark, sf_dir):
+    return providers.export(B.reading_order(blocks(spark, sf_dir), "i"), "txt")
